@@ -12,10 +12,10 @@ from .risk import (
     var_from_quantile,
     x_log_p,
 )
-from .windows import before, ending_here, ordered_by, so_far, when_full
+from .windows import before, ending_here, full_window_quantile, ordered_by, so_far, when_full
 
 __all__ = [
     "ALPHA", "before", "binomial_loglik", "chi_square_tail", "coerce_numeric", "eligible_session", "ending_here",
-    "erfc", "finite", "is_violation", "known", "normal_quantile", "ordered_by", "parse_flag", "parse_instant",
+    "erfc", "finite", "full_window_quantile", "is_violation", "known", "normal_quantile", "ordered_by", "parse_flag", "parse_instant",
     "parse_trading_date", "pinball", "so_far", "var_from_quantile", "when_full", "x_log_p",
 ]

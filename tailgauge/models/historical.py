@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import before, var_from_quantile, when_full
+from ..functions import before, full_window_quantile, var_from_quantile
 from ..operators.blocked import with_window_columns
 
 
@@ -19,8 +19,7 @@ def historical_var(returns: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def window_quantile(w: WindowSpec, window: int, alpha: float = 0.05) -> Column:
-    f = before(w, window)
-    return when_full(F.percentile("ret", F.lit(alpha)).over(f), "ret", f, window)
+    return full_window_quantile("ret", before(w, window), window, alpha)
 
 
 def rolling_historical_var(returns: DataFrame, window: int = 250, confidence: float = 0.95,

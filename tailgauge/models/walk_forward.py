@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import is_violation, normal_quantile, var_from_quantile, when_full
+from ..functions import is_violation, normal_quantile, var_from_quantile
 from ..operators.blocked import with_window_columns
 from .historical import window_quantile
 from .ewma import ewma_path

@@ -13,16 +13,15 @@ OHLCV = ["open", "high", "low", "close", "volume"]
 def align_calendars(bars: DataFrame, tickers: int | None = None) -> DataFrame:
     """Keep the sessions on which every ticker has a bar.
 
-    One pre-aggregated count per date and a semi join, whatever the number of
-    tickers.  Without ``tickers`` their number is taken from the panel itself.
+    The bars of a session (one per ticker) are counted where they meet, so the
+    panel is read and shuffled once; a semi join would read it twice.  Without
+    ``tickers`` their number is taken from the panel itself.
     """
-    per_date = bars.groupBy("date").agg(F.count(F.lit(1)).alias("_tickers"))
-    if tickers is None:
-        total = bars.select("ticker").distinct().agg(F.count(F.lit(1)).alias("_wanted"))
-        complete = per_date.join(total, F.col("_tickers") == F.col("_wanted"))
-    else:
-        complete = per_date.filter(F.col("_tickers") == tickers)
-    return bars.join(complete.select("date"), "date", "left_semi")
+    counted = bars.withColumn("_tickers", F.count(F.lit(1)).over(Window.partitionBy("date")))
+    if tickers is not None:
+        return counted.filter(F.col("_tickers") == tickers).drop("_tickers")
+    total = bars.agg(F.count_distinct("ticker").alias("_wanted"))
+    return counted.join(total, F.col("_tickers") == F.col("_wanted")).drop("_tickers", "_wanted")
 
 
 def calendar_mismatch(bars: DataFrame, tickers: int) -> DataFrame:

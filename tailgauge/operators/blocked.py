@@ -73,7 +73,9 @@ def with_window_columns(
 
     ``build`` receives the ordered window and returns the columns.  Without
     ``block`` a series is one window partition (bounded by the calendar); with
-    it the same expressions run on halo chunks of ``block`` sessions.
+    it the same expressions run on halo chunks of ``block`` sessions.  Chunks are
+    spread by an explicit repartition: framed quantiles cost far more than their
+    bytes suggest, so size-based coalescing would leave the work to one task.
     """
     if block is None:
         columns = build(Window.partitionBy(*keys).orderBy(order))
@@ -89,8 +91,10 @@ def with_window_columns(
         ),
     )
     columns = build(Window.partitionBy(*keys, "_chunk").orderBy(order))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        spread.select("*", *[column.alias(name) for name, column in columns.items()])
+        spread.repartition(partitions, *keys, "_chunk")
+        .select("*", *[column.alias(name) for name, column in columns.items()])
         .filter(F.floor(position / F.lit(block)) == F.col("_chunk"))
         .drop("_position", "_chunk")
     )

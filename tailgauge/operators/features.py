@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import before, ending_here, ordered_by, so_far, when_full
+from ..functions import before, ending_here, full_window_quantile, ordered_by, so_far, when_full
 from .alignment import align_calendars
 from .blocked import with_running_log_wealth, with_window_columns
 
@@ -47,7 +47,7 @@ def downside_columns(w: WindowSpec, n: int = 20) -> dict[str, Column]:
 
 def quantile_columns(w: WindowSpec, n: int = 60, alpha: float = 0.05) -> dict[str, Column]:
     name = f"rolling_q{int(round(alpha * 100)):02d}_{n}"
-    return {name: when_full(F.percentile("ret", F.lit(alpha)).over(before(w, n)), "ret", before(w, n), n)}
+    return {name: full_window_quantile("ret", before(w, n), n, alpha)}
 
 
 def range_columns(w: WindowSpec, n: int = 20) -> dict[str, Column]:

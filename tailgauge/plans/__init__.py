@@ -1,6 +1,6 @@
 """Runnable catalog: every operator on the given tables."""
 
-from . import features_queries, returns_queries
+from . import alignment_queries, cleaning_queries, features_queries, models_queries, returns_queries
 from .catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -39,6 +39,8 @@ def query(name: str, tables: str = "", sql: str | None = None, doubles: str = ""
             if doubles:
                 fixed = ", ".join(f'round("{c}", {digits}) + 0 AS "{c}"' for c in doubles.split())
                 inner = f"SELECT * REPLACE ({fixed}) FROM ({inner})"
+            elif inner.startswith("WITH"):
+                inner = f"SELECT * FROM ({inner})"
             SQL[name] = with_tables(tuple(tables.split()), inner)
         return function
 

@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered_by
+from ..models.folds import expanding_folds
 from ..models.walk_forward import compare_methods
 from ..operators.alignment import align_calendars
+from ..operators.features import feature_table_12f
 from ..operators.returns import both_returns, portfolio_series
-from ..sources.bars import MONEY, OHLCV, bars_from_cells, merge_cells, packed_order, tick_bars, trade_cells
+from ..session import materialize
+from ..sources.bars import OHLCV, bars_from_cells, hundredths, merge_cells, packed_order, tick_bars, trade_cells
 
 TICKERS = ["A", "N", "R"]
 CUTOFF = "2000-06-30"
@@ -41,10 +44,8 @@ class Tables:
     def cells(self) -> DataFrame:
         trades = self.source("lineitem")
         order = packed_order(
-            ("l_orderkey", 15),
-            ("l_linenumber", 2),
-            (F.col("l_extendedprice").cast(MONEY) * 100, 13),
-            (F.col("l_quantity").cast(MONEY) * 100, 8),
+            F.col("l_orderkey") * 100 + F.col("l_linenumber"),
+            hundredths(F.col("l_extendedprice")) * 1_000_000 + hundredths(F.col("l_quantity")),
         )
         return trade_cells(
             trades,
@@ -80,11 +81,28 @@ class Tables:
 
     @functools.cached_property
     def portfolio(self) -> DataFrame:
-        return portfolio_series(self.bars, self.weights, len(TICKERS))
+        """Daily returns of every portfolio, a table of its own: most plans read it several times."""
+        return materialize(portfolio_series(self.bars, self.weights, len(TICKERS)), "portfolio")
 
     @functools.cached_property
     def predictions(self) -> DataFrame:
-        return compare_methods(self.portfolio)
+        """Forecasts of three methods on common targets, a table of its own."""
+        return materialize(compare_methods(self.portfolio), "predictions")
+
+    @functools.cached_property
+    def features(self) -> DataFrame:
+        return feature_table_12f(self.portfolio)
+
+    @functools.cached_property
+    def fold_predictions(self) -> DataFrame:
+        """Predictions of the baseline methods on the validation folds of the feature table."""
+        folds = expanding_folds(self.features).select("series_id", "target_date", F.col("fold").cast("string"))
+        return (
+            self.predictions.join(folds.filter(F.col("fold") != "0"), ["series_id", "target_date"])
+            .withColumnRenamed("method", "model")
+            .select("series_id", "model", "fold", "as_of", "target_date", "actual_return", "quantile_return", "var",
+                    "violation")
+        )
 
     @functools.cached_property
     def ticks(self) -> DataFrame:
@@ -94,7 +112,7 @@ class Tables:
             date=F.to_date("ts"),
             price=F.col("value"),
             quantity=F.lit(1),
-            order=packed_order((F.unix_micros(F.col("ts").cast("timestamp")), 18), ("event_id", 18)),
+            order=packed_order(F.unix_micros(F.col("ts").cast("timestamp")), "event_id"),
             close="last",
         )
 
@@ -340,7 +358,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY target_date) - 1 AS position,
           count(*) OVER (PARTITION BY series_id) AS n FROM feat12))"""),
     "foldpred": (("pred", "folded"), """
-      SELECT pred.*, method AS model, CAST(fold AS VARCHAR) AS fold
+      SELECT pred.*, method AS model, CAST(folded.fold AS VARCHAR) AS fold
       FROM pred JOIN folded USING (series_id, target_date) WHERE fold > 0"""),
     "metrics": (("scored",), """
       SELECT series_id, method, count(*) AS forecast_count, count(*) FILTER (violation) AS violation_count,

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 BAR_COLUMNS = ["ticker", "date", "open", "high", "low", "close", "volume"]
 PRICES = ["open", "high", "low", "close"]
 OHLCV = [*PRICES, "volume"]
-MONEY = "decimal(18,2)"
 
 
 def read_ohlcv_csv(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -69,20 +68,23 @@ def read_market_snapshot(bars: DataFrame, required: Sequence[str]) -> DataFrame:
     return panel
 
 
-def packed_order(*parts: tuple[Column | str, int]) -> Column:
-    """One DECIMAL(38) that sorts like the given non-negative integers, first part first.
+def packed_order(major: Column | str, minor: Column | str) -> Column:
+    """One fixed-width DECIMAL(38) that sorts like (major, minor), both non-negative longs.
 
     A fixed-width key keeps min_by / max_by in hash aggregation; an ordering
     struct would force every input row through a sort.
     """
-    if sum(digits for _, digits in parts) > 38:
-        raise ValueError("order key wider than 38 digits")
-    key = None
-    for column, digits in parts:
-        column = F.col(column) if isinstance(column, str) else column
-        piece = column.cast(T.DecimalType(digits, 0)).cast(T.DecimalType(38, 0))
-        key = piece if key is None else (key * F.lit(Decimal(10**digits)) + piece).cast(T.DecimalType(38, 0))
-    return key
+
+    def digits(value: Column | str) -> Column:
+        column = F.col(value) if isinstance(value, str) else value
+        return column.cast("long").cast("decimal(19,0)")
+
+    return (digits(major) * F.lit(Decimal(10**18))).cast("decimal(38,0)") + digits(minor)
+
+
+def hundredths(value: Column) -> Column:
+    """Two-decimal amounts as exact whole hundredths; their sums do not depend on row order."""
+    return F.floor(value * F.lit(100.0) + F.lit(0.5)).cast("long")
 
 
 def trade_cells(
@@ -102,8 +104,8 @@ def trade_cells(
         ticker.alias("ticker"),
         date.alias("date"),
         price.alias("_price"),
-        quantity.cast(MONEY).alias("_quantity"),
-        notional.cast(MONEY).alias("_notional"),
+        hundredths(quantity).alias("_quantity"),
+        hundredths(notional).alias("_notional"),
         order.alias("_order"),
     )
     return rows.groupBy("ticker", "date").agg(
@@ -143,7 +145,7 @@ def bars_from_cells(cells: DataFrame, close: str = "vwap") -> DataFrame:
     if close not in ("vwap", "last"):
         raise ValueError("close must be vwap or last")
     settled = (
-        F.col("notional").cast("double") / F.col("quantity").cast("double")
+        (F.col("notional") / F.lit(100.0)) / (F.col("quantity") / F.lit(100.0))
         if close == "vwap"
         else F.col("last_trade")
     )
@@ -154,7 +156,7 @@ def bars_from_cells(cells: DataFrame, close: str = "vwap") -> DataFrame:
         F.greatest("top", settled).alias("high"),
         F.least("bottom", settled).alias("low"),
         settled.alias("close"),
-        F.col("quantity").cast("double").alias("volume"),
+        (F.col("quantity") / F.lit(100.0)).alias("volume"),
     )
 
 

@@ -77,7 +77,8 @@ def main() -> int:
         at = arguments.index("--dir")
         path = arguments[at + 1]
         del arguments[at : at + 2]
-    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
+                          spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(path)
     failed = 0
