@@ -192,7 +192,7 @@ def _(t: Tables):
     SELECT *, CASE price_unit WHEN 'vnd' THEN 1e3 ELSE 1e0 END AS f FROM (
       SELECT *, CASE WHEN ticker = 'A' THEN 'vnd' WHEN ticker = 'N' THEN 'thousand_vnd' END AS price_unit FROM bars
       UNION ALL SELECT *, 'index_points' FROM idx))
-""", OHLCV)
+""", OHLCV, digits=11)
 def _(t: Tables):
     unit = F.when(F.col("ticker") == "A", "vnd").when(F.col("ticker") == "N", "thousand_vnd")
     both = t.bars.withColumn("price_unit", unit).unionByName(t.index.withColumn("price_unit", F.lit("index_points")))
