@@ -2,6 +2,7 @@
 
 from . import (
     alignment_queries,
+    boosting_queries,
     cleaning_queries,
     describe_queries,
     exceptions_queries,
