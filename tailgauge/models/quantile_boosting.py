@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.base import Estimator, Model
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pinball, var_from_quantile
@@ -112,79 +112,58 @@ class BoostingRun:
         The pseudo-residual takes two values, so counts of the upper one are
         enough and all sums are exact.  Ties go to the first feature and lowest bin.
         """
-        open_rows = rows.filter(
-            F.col("is_train") & (F.col("_node") >= 2**level) & (F.lit(level) < F.col("config.max_depth"))
-        )
         cells = (
-            open_rows.select(
-                "task",
-                "_node",
-                F.col("config.used").alias("_used"),
-                F.col("config.min_leaf").alias("_min_leaf"),
-                (F.col("label") >= F.col("prediction")).cast("long").alias("_up"),
-                F.posexplode("_bins").alias("_feature", "_bin"),
+            rows.filter(f"is_train AND _node >= {2**level} AND {level} < config.max_depth")
+            .selectExpr(
+                "task", "_node", "config.used AS _used", "config.min_leaf AS _min_leaf",
+                "label >= prediction AS _up", "posexplode(_bins) AS (_feature, _bin)",
             )
-            .filter(F.array_contains("_used", F.col("_feature")))
+            .filter("array_contains(_used, _feature)")
             .groupBy("task", "_node", "_feature", "_bin")
-            .agg(
-                F.count(F.lit(1)).alias("_n"), F.sum("_up").alias("_ups"), F.first("_min_leaf").alias("_min_leaf")
-            )
+            .agg(F.expr("count(1) AS _n"), F.expr("count_if(_up) AS _ups"), F.expr("first(_min_leaf) AS _min_leaf"))
         )
-        w = Window.partitionBy("task", "_node", "_feature").orderBy("_bin")
-        left = w.rowsBetween(Window.unboundedPreceding, 0)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        sides = cells.select(
+        over = "OVER (PARTITION BY task, _node, _feature ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
+        left, whole = over.format("CURRENT ROW"), over.format("UNBOUNDED FOLLOWING")
+        sides = cells.selectExpr(
             "task", "_node", "_feature", "_bin", "_min_leaf",
-            F.sum("_n").over(left).alias("_nl"), F.sum("_ups").over(left).alias("_ul"),
-            F.sum("_n").over(whole).alias("_nt"), F.sum("_ups").over(whole).alias("_ut"),
+            f"sum(_n) {left} AS n1", f"sum(_ups) {left} AS u1",
+            f"sum(_n) {whole} - sum(_n) {left} AS n2", f"sum(_ups) {whole} - sum(_ups) {left} AS u2",
         )
-        n_left, n_right = F.col("_nl"), F.col("_nt") - F.col("_nl")
-        gap = F.try_divide(F.col("_ul"), n_left) - F.try_divide(F.col("_ut") - F.col("_ul"), n_right)
-        best = (
-            sides.withColumn("_gain", n_left * n_right / F.col("_nt") * gap * gap)
-            .filter((n_left >= F.col("_min_leaf")) & (n_right >= F.col("_min_leaf")) & (F.col("_gain") > MINIMUM_GAIN))
+        gains = sides.filter("n1 >= _min_leaf AND n2 >= _min_leaf").selectExpr(
+            "task", "_node", "_feature", "_bin", "n1 * n2 / (n1 + n2) * pow(u1 / n1 - u2 / n2, 2) AS _gain"
+        )
+        return (
+            gains.filter(f"_gain > {MINIMUM_GAIN}")
             .groupBy("task", "_node")
-            .agg(
-                F.max(F.struct(F.col("_gain"), (-F.col("_feature")).alias("f"), (-F.col("_bin")).alias("b"))).alias(
-                    "_best"
-                )
-            )
+            .agg(F.expr("max(struct(_gain, -_feature AS f, -_bin AS b)) AS _best"))
+            .selectExpr("task", "_node", "-_best.f AS _f", "-_best.b AS _b")
         )
-        return best.select("task", "_node", (-F.col("_best.f")).alias("_f"), (-F.col("_best.b")).alias("_b"))
 
     @staticmethod
     def _descend(rows: DataFrame, splits: DataFrame) -> DataFrame:
-        goes_right = F.get("_bins", F.col("_f")) > F.col("_b")
-        below = F.col("_node") * 2 + goes_right.cast("int")
+        below = "_node * 2 + CAST(get(_bins, _f) > _b AS INT)"
         return (
             rows.join(splits, ["task", "_node"], "left")
-            .withColumn("_node", F.when(F.col("_f").isNotNull(), below).otherwise(F.col("_node")))
+            .withColumn("_node", F.expr(f"CASE WHEN _f IS NOT NULL THEN {below} ELSE _node END"))
             .drop("_f", "_b")
         )
 
     def grow(self, stage: int, depth: int) -> None:
         """Add one tree to every task that still has stages left."""
-        active = F.col("config.stages") >= stage
         rows = self.state
         for level in range(depth):
-            splits = self._table(
-                self._best_splits(rows.filter(active), level), f"splits/stage={stage}/level={level}"
-            )
-            rows = self._descend(rows, splits)
-        residual = F.col("label") - F.col("prediction")
+            splits = self._best_splits(rows.filter(f"config.stages >= {stage}"), level)
+            rows = self._descend(rows, self._table(splits, f"splits/stage={stage}/level={level}"))
+        step = F.percentile(F.expr("label - prediction"), F.lit(self.alpha)) * F.expr("first(config.learning_rate)")
         leaves = self._table(
-            rows.filter(active & F.col("is_train"))
-            .groupBy("task", "_node")
-            .agg(
-                (F.percentile(residual, F.lit(self.alpha)) * F.first("config.learning_rate")).alias("_step")
-            ),
+            rows.filter(f"is_train AND config.stages >= {stage}").groupBy("task", "_node").agg(step.alias("_step")),
             f"leaves/stage={stage}",
         )
         updated = rows.join(leaves, ["task", "_node"], "left").withColumn(
-            "prediction", F.col("prediction") + F.coalesce("_step", F.lit(0.0))
+            "prediction", F.expr("prediction + coalesce(_step, 0D)")
         )
         if self.track:
-            updated = updated.withColumn("_path", F.concat("_path", F.array("prediction")))
+            updated = updated.withColumn("_path", F.expr("concat(_path, array(prediction))"))
         self.state = self._table(updated.drop("_step").withColumn("_node", F.lit(1)), f"state/stage={stage}")
 
 
