@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import coerce_numeric, eligible_session, finite, ordered_by, parse_trading_date
@@ -74,48 +74,60 @@ def breaks_ohlc() -> Column:
     return any_of(F.coalesce(t, F.lit(False)) for t in tests)
 
 
-def structural_diagnostics(raw: DataFrame) -> DataFrame:
-    """Counts of structural faults per ticker, with every copy of a repeated date counted.
+def session_state(raw: DataFrame) -> DataFrame:
+    """One row per (ticker, date): fault counts of all copies and the last valid copy in file order.
 
-    First pass per (ticker, date) with copies pre-aggregated; order is checked on
-    the dated rows of a file by comparing with the previous one.
+    Everything the cleaning and the report need from the raw rows, in one pass
+    with map-side partials.
     """
-    rows = typed(raw)
-    per_date = rows.groupBy("ticker", "date").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(incomplete()).alias("missing"),
-        F.count_if(has_bad_price()).alias("bad_price"),
-        F.count_if(has_negative_volume()).alias("negative_volume"),
-        F.min("ordinal").alias("first_seen"),
-        F.max("ordinal").alias("last_seen"),
+    valid = ~incomplete() & ~has_bad_price() & ~has_negative_volume()
+    return (
+        typed(raw)
+        .groupBy("ticker", "date")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(incomplete()).alias("missing"),
+            F.count_if(has_bad_price()).alias("bad_price"),
+            F.count_if(has_negative_volume()).alias("negative_volume"),
+            F.min("ordinal").alias("first_seen"),
+            F.max("ordinal").alias("last_seen"),
+            F.count_if(valid).alias("kept"),
+            *[F.max_by(F.when(valid, F.col(c)), F.when(valid, F.col("ordinal"))).alias(c) for c in OHLCV],
+        )
     )
+
+
+def earlier_dates() -> WindowSpec:
+    return ordered_by("ticker").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_seen_before(state: DataFrame) -> DataFrame:
+    """Add the file position reached by all earlier dates.
+
+    Dates are in order exactly when, walking them upwards, every date's first row
+    comes after the last row of all earlier dates.
+    """
+    dated = F.when(F.col("date").isNotNull(), F.col("last_seen"))
+    return state.withColumn("_seen_before", F.max(dated).over(earlier_dates()))
+
+
+def structural_counts() -> list[Column]:
     dated = F.col("date").isNotNull()
-    counts = per_date.groupBy("ticker").agg(
+    disordered = F.coalesce(dated & (F.col("_seen_before") > F.col("first_seen")), F.lit(False))
+    return [
         F.sum("rows").alias("raw_rows"),
         F.sum(F.when(~dated, F.col("rows")).otherwise(0)).alias("date_parse_failures"),
         F.sum("missing").alias("missing_rows"),
         F.sum(F.when(dated & (F.col("rows") > 1), F.col("rows")).otherwise(0)).alias("duplicate_date_rows"),
         F.sum("bad_price").alias("nonpositive_price_rows"),
         F.sum("negative_volume").alias("negative_volume_rows"),
-    )
-    return counts.join(out_of_order(per_date), "ticker", "left").withColumn(
-        "dates_out_of_order", F.coalesce("dates_out_of_order", F.lit(False))
-    )
-
+        F.bool_or(disordered).alias("dates_out_of_order"),
+    ]
 
-def out_of_order(per_date: DataFrame) -> DataFrame:
-    """Whether a later date was seen before an earlier one.
 
-    Dates are in order exactly when, walking them upwards, every date's first row
-    comes after the last row of all earlier dates; one row per date is compared.
-    """
-    earlier = ordered_by("ticker").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        per_date.filter(F.col("date").isNotNull())
-        .withColumn("_seen_before", F.max("last_seen").over(earlier))
-        .groupBy("ticker")
-        .agg(F.bool_or(F.coalesce(F.col("_seen_before") > F.col("first_seen"), F.lit(False))).alias("dates_out_of_order"))
-    )
+def structural_diagnostics(raw: DataFrame) -> DataFrame:
+    """Counts of structural faults per ticker, with every copy of a repeated date counted."""
+    return with_seen_before(session_state(raw)).groupBy("ticker").agg(*structural_counts())
 
 
 def keep_last_per_date(rows: DataFrame, columns: Sequence[str] = tuple(OHLCV)) -> DataFrame:
@@ -125,9 +137,7 @@ def keep_last_per_date(rows: DataFrame, columns: Sequence[str] = tuple(OHLCV)) -
 
 def clean_structural(raw: DataFrame) -> DataFrame:
     """Drop incomplete, non-positive and negative-volume rows; keep the last row of a date."""
-    rows = typed(raw)
-    valid = ~incomplete() & ~has_bad_price() & ~has_negative_volume()
-    return keep_last_per_date(rows.filter(valid))
+    return session_state(raw).filter(F.col("kept") > 0).select("ticker", *REQUIRED)
 
 
 def ohlc_violations(bars: DataFrame) -> DataFrame:
@@ -245,14 +255,17 @@ def rescale_price_unit(bars: DataFrame, unit: str = "price_unit", stocks: Column
 
 
 def freshness_check(bars: DataFrame, cutoff: Column, max_age: int = 4) -> DataFrame:
-    """Last session of every ticker: stale, different from the others, or not the expected one."""
+    """Last session of every ticker: stale, different from the others, or not the expected one.
+
+    Compares one pre-aggregated row per ticker.
+    """
     last = bars.groupBy("ticker").agg(F.max("date").alias("last_date"))
-    newest = last.agg(F.max("last_date").alias("newest"))
-    return last.join(newest).select(
+    everyone = Window.partitionBy(F.lit(1))
+    return last.select(
         "ticker",
         "last_date",
         (F.col("last_date") < F.date_sub(cutoff, max_age)).alias("stale"),
-        (F.col("last_date") != F.col("newest")).alias("behind_others"),
+        (F.col("last_date") != F.max("last_date").over(everyone)).alias("behind_others"),
         (F.col("last_date") != cutoff).alias("not_expected"),
     )
 

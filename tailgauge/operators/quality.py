@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cleaning import clean_structural, drop_invalid_ohlc, flag_extreme_moves, ohlc_violation_summary, \
-    structural_diagnostics
+from .cleaning import breaks_ohlc, earlier_dates, session_state, structural_counts, with_seen_before
 
 COUNTS = [
     "raw_rows", "clean_rows", "rows_removed", "date_parse_failures", "missing_rows", "duplicate_date_rows",
@@ -24,27 +23,30 @@ def quality_report(raw: DataFrame, requested: Sequence[str], location: str = "cl
                    threshold: float = 0.15) -> DataFrame:
     """One row per requested ticker: PASS, REVIEW or, without input, FAIL.
 
-    All tickers are measured together; each block is an aggregate per ticker and
-    the blocks meet on the ticker key.
+    The raw rows are read once: they shrink to one state row per session, and
+    all measures of a ticker come from one aggregation of its sessions.
     """
-    structural = clean_structural(raw)
-    clean = drop_invalid_ohlc(structural)
-    kept = clean.groupBy("ticker").agg(
-        F.count(F.lit(1)).alias("clean_rows"), F.min("date").alias("start_date"), F.max("date").alias("end_date")
+    sound = (F.col("kept") > 0) & ~breaks_ohlc()
+    before = F.last(F.when(sound, F.col("close")), ignorenulls=True).over(earlier_dates())
+    move = F.when(sound, F.try_divide(F.col("close"), before) - 1.0)
+    measured = (
+        with_seen_before(session_state(raw))
+        .withColumn("_move", move)
+        .groupBy("ticker")
+        .agg(
+            *structural_counts(),
+            F.count_if((F.col("kept") > 0) & breaks_ohlc()).alias("invalid_ohlc_rows"),
+            F.count_if(sound).alias("clean_rows"),
+            F.min(F.when(sound, F.col("date"))).alias("start_date"),
+            F.max(F.when(sound, F.col("date"))).alias("end_date"),
+            F.count_if(F.abs("_move") > threshold).alias("extreme_close_move_rows"),
+        )
     )
-    moves = flag_extreme_moves(clean, threshold).groupBy("ticker").agg(
-        F.count(F.lit(1)).alias("extreme_close_move_rows")
-    )
-    broken = ohlc_violation_summary(structural).select("ticker", "invalid_ohlc_rows")
     wanted = raw.sparkSession.createDataFrame([(t.strip().upper(),) for t in requested], "ticker string")
-    measured = structural_diagnostics(raw)
     report = (
         wanted.join(measured, "ticker", "left")
-        .join(broken, "ticker", "left")
-        .join(kept, "ticker", "left")
-        .join(moves, "ticker", "left")
         .withColumn("_found", F.col("raw_rows").isNotNull())
-        .withColumn("rows_removed", F.col("raw_rows") - F.coalesce("clean_rows", F.lit(0)))
+        .withColumn("rows_removed", F.col("raw_rows") - F.col("clean_rows"))
         .fillna(0, COUNTS)
         .fillna({"dates_out_of_order": False})
     )

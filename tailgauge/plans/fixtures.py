@@ -42,6 +42,10 @@ class Tables:
 
     @functools.cached_property
     def cells(self) -> DataFrame:
+        """Trade cells as a table of their own: the trades are scanned once, however many branches follow."""
+        return materialize(self.trade_cells(), "cells")
+
+    def trade_cells(self) -> DataFrame:
         trades = self.source("lineitem")
         order = packed_order(
             F.col("l_orderkey") * 100 + F.col("l_linenumber"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import returns as R
@@ -25,9 +26,10 @@ def _(t: Tables):
 
 @query("equal_weights", "bars", """
   SELECT 'ALL' AS portfolio_id, ticker, 1e0 / count(*) OVER () AS weight FROM (SELECT DISTINCT ticker FROM bars)
+  UNION ALL SELECT DISTINCT ticker, ticker, 1e0 FROM bars
 """, "weight")
 def _(t: Tables):
-    return R.equal_weights(t.bars.select(F.lit("ALL").alias("portfolio_id"), "ticker"))
+    return R.equal_weights(t.bars.select(F.explode(F.array(F.lit("ALL"), "ticker")).alias("portfolio_id"), "ticker"))
 
 
 @query("validate_weights", "bars", """
@@ -41,14 +43,13 @@ def _(t: Tables):
 """, "weight_sum")
 def _(t: Tables):
     volume = t.bars.groupBy("ticker").agg(F.sum("volume").alias("v"))
-    total = volume.agg(F.sum("v").alias("total"))
-    share = F.col("v") / F.col("total")
+    share = F.col("v") / F.sum("v").over(Window.partitionBy(F.lit(1)))
     kinds = F.array(
         F.struct(F.lit("volume").alias("portfolio_id"), share.alias("weight")),
         F.struct(F.lit("doubled").alias("portfolio_id"), (2.0 * share).alias("weight")),
         F.struct(F.lit("short").alias("portfolio_id"), (-1.0 * share).alias("weight")),
     )
-    return R.validate_weights(volume.join(total).select("ticker", F.inline(kinds)))
+    return R.validate_weights(volume.select("ticker", kinds.alias("_k")).select("ticker", F.inline("_k")))
 
 
 @query("portfolio_return", "rets weights", """

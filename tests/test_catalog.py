@@ -39,6 +39,6 @@ def test_no_row_at_a_time_python_and_no_cross_joins(spark):
     from tailgauge.plans.fixtures import Tables
 
     plan = Tables(spark, PATH).predictions._jdf.queryExecution().toString()
-    text = Tables(spark, PATH).bars._jdf.queryExecution().executedPlan().toString()
+    text = Tables(spark, PATH).trade_cells()._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan
     assert text.count("FileScan") == 1 and "SortAggregate" not in text
