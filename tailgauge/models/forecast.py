@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import var_from_quantile
 from .ewma import ewma_var
 from .historical import historical_var
 
@@ -41,7 +40,3 @@ def next_session_forecast(returns: DataFrame, window: int = 250, alpha: float =
 def monetary_var(forecasts: DataFrame, value: Column | float) -> DataFrame:
     amount = F.lit(float(value)) if isinstance(value, (int, float)) else value
     return forecasts.withColumn("monetary_var", F.col("var") * amount)
-
-
-def as_forecast(quantile: Column) -> list[Column]:
-    return [quantile.alias("quantile_return"), var_from_quantile(quantile).alias("var")]

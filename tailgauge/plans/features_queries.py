@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import features as X
-from ..operators.returns import both_returns
 from .catalog import query
 from .fixtures import TICKERS, Tables
 

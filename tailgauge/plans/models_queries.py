@@ -11,7 +11,6 @@ from ..models.ewma import decay_grid, ewma_path, ewma_var
 from ..models.forecast import monetary_var, next_session_forecast
 from ..models.historical import historical_var, rolling_historical_var, window_grid
 from ..models.walk_forward import compare_methods, empirical_quantile, normal_moments, python_forecaster, walk_forward
-from ..operators.features import feature_table_12f
 from ..operators.metrics import fold_metrics, violation_metrics
 from .catalog import query
 from .fixtures import SPLIT, Tables
