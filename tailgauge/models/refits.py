@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.alignment import training_rows
 from ..operators.blocked import number_sessions
+from ..session import materialize
 from .folds import dev_holdout_split, expanding_folds, fold_training_rows
 from .quantile_boosting import BoostingRun, Candidate, boost, boosted_predictions, staged_loss, with_candidates
 
@@ -48,7 +49,7 @@ def _named(run: BoostingRun, key: str) -> DataFrame:
 
 
 def fold_rows(features: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
-    folded = expanding_folds(features, k)
+    folded = materialize(expanding_folds(features, k), "folded")
     return _task_rows(fold_training_rows(folded, k), folded.filter(F.col("fold") > 0), "fold", columns)
 
 
@@ -85,7 +86,7 @@ def walk_forward_model(features: DataFrame, candidate: Candidate, columns: Seque
     Refit k predicts sessions first + k * refit_every up to the next refit; the
     last one predicts to the end.  ``refit_every`` 1 is one model per target.
     """
-    numbered = number_sessions(features, ("series_id",), "target_date")
+    numbered = materialize(number_sessions(features, ("series_id",), "target_date"), "numbered")
     train = training_rows(numbered, refits, first, refit_every, rolling)
     valid = numbered.filter(F.col("position") >= first).withColumn(
         "task", F.least(F.floor((F.col("position") - first) / refit_every), F.lit(refits - 1)).cast("int")
