@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, which separates words.
@@ -55,6 +58,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             start, before = stop, int(ends[stop - 1])
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}_modules.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def per_batch(
     df: DataFrame, column: str, function: Callable[[pa.RecordBatch], dict], schema: str, most: int = 4 << 20
 ) -> DataFrame:
@@ -64,6 +84,7 @@ def per_batch(
 
     kind = StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column, most):

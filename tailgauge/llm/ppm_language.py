@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import buffer_of, checked, per_batch, remainder
+from .columns import buffer_of, checked, per_batch, remainder, ship
 
 ORDER = 3
 #: Three line ends stand before each text, so every byte has a full context.
@@ -231,4 +231,5 @@ def keep_known(docs: DataFrame, min_score: float = 0.5, folds: int = 3, held_out
             letters = [bool(x) and LETTER.search(x) is not None for x in texts.to_pylist()]
             yield batch.filter(pa.array(np.array(letters, bool) & (share >= min_score)))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
