@@ -15,8 +15,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ LEAF = 16
 NONE = 1 << 60
 #: A task forgets its remembered words beyond this many.
 REMEMBERED = 300_000
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -239,36 +241,25 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded): the tokens of every whole text and the bytes they decode to.
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every whole text.
 
-    Null and empty texts give no tokens.  Rows are answered one by one, repeats too.
-    ``path`` is the rank file, which every worker can read as part of its Python.
+    Null and empty texts give no tokens.  Rows are answered one by one, repeats
+    too.  The digests are of the decimal ids joined by commas and of the bytes that
+    the ids decode to; they are made where the tokens are.  ``path`` is the rank
+    file, which every worker has as part of its Python.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
         own = tokenizer(path, pattern)
-        ids = [own.ids(x or "") for x in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "ids": ids, "decoded": [own.encoder.decode(x) for x in ids]}
-
-    rows = checked(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return per_batch(rows, "text", run, "doc_id long, ids array<int>, decoded binary")
-
-
-def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digests of :func:`encode_documents`.
-
-    They are made where the tokens are, so that the ids stay in the task.
-    """
-
-    def run(batch: pa.RecordBatch) -> dict:
-        own = tokenizer(path, pattern)
-        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for text in batch.column(1).to_pylist():
             ids = own.ids(text or "")
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(own.joined(ids).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(own.encoder.decode(ids)).hexdigest())
+            out["ids"].append(array("i", ids))
+        out["ids"] = pa.array([np.frombuffer(x, np.int32) for x in out["ids"]], pa.list_(pa.int32()))
         return out | {"doc_id": batch.column(0)}
 
     rows = checked(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
