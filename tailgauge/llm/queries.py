@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe_tree, ppm_language, run_length_dedup, suffix_automaton
+from . import bagminhash, bpe_tree, ppm_language, run_length_dedup, suffix_automaton, suffix_repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,6 +75,11 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encoded(table(spark, sf_dir, "documents"), *vocabulary()).drop("ids")
 
 
+@query
+def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repetition.quality(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.language_id(table(spark, sf_dir, "documents"))
