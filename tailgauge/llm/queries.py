@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe_tree, ppm_language, run_length_dedup, suffix_automaton, suffix_repetition
+from . import (
+    bagminhash,
+    bpe_tree,
+    histogram_sort,
+    ppm_language,
+    run_length_dedup,
+    suffix_automaton,
+    suffix_repetition,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,6 +46,11 @@ def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_sort.shard_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_automaton.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
