@@ -1,9 +1,10 @@
 """Exact removal of long repeated strings with run-length compressed indexes.
 
 Two equal windows of ``length`` bytes have equal bytes everywhere, so also the
-same least ``gram`` (by hash), their anchor.  Neighbouring windows with one anchor
-form a piece; an anchor is met by about one window in ninety.  Anchors that occur
-once cannot repeat anything.  Pieces that occur twice as a whole are repeated
+same least ``gram`` (by hash) at the same place.  Neighbouring windows with one
+such gram, and with it in the same half, form a piece; the bytes that all windows
+of that half have in common are the piece's anchor.  There is a piece for about
+each sixty bytes.  Anchors that occur once cannot repeat anything.  Pieces that occur twice as a whole are repeated
 throughout.  What is left are pieces that share an anchor and differ somewhere,
 each different piece once; they are dealt by anchor into blocks of bounded size.
 
@@ -34,7 +35,7 @@ from ..session import materialize
 from .columns import buffer_of, checked, per_batch, ship, text_key
 from .words import BASE, INVERSE, mixed, powers
 
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,14 @@ class Windows:
 
     length: int = 200
     gram: int = 24
+    parts: int = 2
     block_bytes: int = 1 << 20
     most_pieces: int = 1500
 
+    @property
+    def reach(self) -> int:
+        return -(-(self.length - self.gram + 1) // self.parts)
+
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """Least value of every ``width`` neighbours, by minima from both ends of blocks."""
@@ -76,33 +82,60 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, w: Windows) -> dict[str, np
             np.arange(len(offsets) - 1), np.diff(np.clip(offsets, at, at + n))
         )
         valid = np.arange(at, at + n) + w.length <= offsets[text + 1]
+        lowest = (least & np.uint64((1 << 23) - 1)).astype(np.int64)
+        part_of = (lowest - np.arange(n)) // w.reach  # which side of the gram the windows reach to
         begins = valid.copy()
-        begins[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+        begins[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (part_of[1:] != part_of[:-1])
         starts = np.flatnonzero(begins)
         if not len(starts):
             continue
         count = np.add.reduceat(valid.astype(np.int64), starts)
         ends = starts + count + w.length - 1
         content = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        core = lowest[starts] - part_of[starts] * w.reach  # what all windows of the part have in common
+        last = core + w.length - w.reach + 1
+        anchor = mixed((sums[last] - sums[core]) * inverse[core] + part_of[starts].astype(np.uint64))
         found["text"].append(text[starts])
         found["start"].append(starts + at - offsets[text[starts]])
         found["windows"].append(count)
-        found["anchor"].append(grams[(least[starts] & np.uint64((1 << 23) - 1)).astype(np.int64)].view(np.int64))
+        found["anchor"].append(anchor.view(np.int64))
         found["content"].append(content.view(np.int64))
     return {k: np.concatenate(x) if x else np.empty(0, np.int64) for k, x in found.items()}
 
 
+def sorted_with_groups(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their keys, all below ``most``, and the number of each one's group of equals.
+
+    Where key and position fit one word that word is sorted, which is much
+    faster than sorting positions.
+    """
+    n = len(key)
+    bits = int(n).bit_length()
+    if most < 1 << (64 - bits):
+        packed = np.sort((key.astype(np.uint64) << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
+        order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+        ordered = packed >> np.uint64(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    groups = np.zeros(n, np.int64)
+    np.cumsum(ordered[1:] != ordered[:-1], out=groups[1:])
+    return order, groups
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of several strings with sampled run ends."""
 
     def __init__(self, strings: list[bytes]):
         lengths = np.array([len(x) for x in strings])
         self.starts = np.cumsum(lengths + 1) - lengths - 1
-        n, kinds = int(lengths.sum() + len(strings)), len(strings)
-        symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + kinds
-        symbols[self.starts + lengths] = np.arange(kinds)  # each string ends in a mark of its own
-        order, self._ranks = self._sorted(symbols, kinds + 256)
+        self.ends = np.repeat(self.starts + lengths, lengths + 1)
+        n = len(self.ends)
+        symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+        symbols[self.starts + lengths] = 0
+        order, self._ranks = self._sorted(symbols, 257)
         before = symbols[order - 1]
+        before[order == 0] = -1  # nothing stands before the first
         change = np.flatnonzero(before[1:] != before[:-1]) + 1
         matched = self._matched(order[change - 1], order[change], symbols)
         self.runs = len(change) + 1
@@ -115,21 +148,20 @@ class RunLengthIndex:
     def _sorted(symbols: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         """Suffix order by doubling, and the ranks of all substrings of each doubled length."""
         n = len(symbols)
-        key, width = symbols, 1
-        while width < 4 and size ** (2 * width) < 1 << 62:
-            key = key * size**width + np.append(key[width:], np.zeros(min(width, n), np.int64))[:n]
-            width *= 2
+        key, width, most = symbols, 1, size
+        while width < 4 and most * most < 1 << 42:
+            key = key * most + np.append(key[width:], np.zeros(min(width, n), np.int64))[:n]
+            width, most = 2 * width, most * most
         ranks = []
         while True:
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            fresh = np.concatenate([[0], ordered[1:] != ordered[:-1]]).cumsum()
-            rank = np.empty(n, np.int64)
+            order, fresh = sorted_with_groups(key, most)
+            rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
             rank[order] = fresh
             ranks.append((width, rank))
             if fresh[-1] == n - 1:
                 return order, ranks
-            key = rank * (n + 1) + np.append(rank[width:] + 1, np.zeros(min(width, n), np.int64))[:n]
+            key, most = rank.astype(np.int64) * (n + 1), n * (n + 1) + n + 1
+            key[: n - width] += rank[width:] + 1
             width *= 2
 
     def _matched(self, a: np.ndarray, b: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -153,14 +185,19 @@ class RunLengthIndex:
         order = np.argsort(position)
         return position[order], value[order]
 
-    def statistics(self, string: int, length: int) -> np.ndarray:
-        """For each position of an indexed string, the longest match that also starts elsewhere."""
-        positions = self.starts[string] + np.arange(length)
-        best = np.zeros(length, np.int64)
+    def statistics(self) -> np.ndarray:
+        """For each position of the strings, the longest match that also starts elsewhere.
+
+        String ``i`` begins at ``starts[i]``; matches end with their string.
+        """
+        n = len(self.ends)
+        best = np.zeros(n, np.int64)
         for at, value in (self.head, self.tail):
-            sample = np.searchsorted(at, positions, "right") - 1
-            best = np.maximum(best, np.where(sample >= 0, value[sample] - (positions - at[sample]), 0))
-        return best
+            sample = np.zeros(n, np.int64)
+            sample[at] = np.arange(len(at))
+            np.maximum.accumulate(sample, out=sample)
+            best = np.maximum(best, value[sample] - (np.arange(n) - at[sample]))
+        return np.minimum(best, self.ends - np.arange(n))
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +238,7 @@ def all_pieces(docs: DataFrame, w: Windows) -> DataFrame:
         return found | {"doc_id": batch.column(0).take(at), "key": batch.column(2).take(at)}
 
     schema = "doc_id long, key long, anchor long, content long, start int, windows int"
-    return per_batch(keyed(docs), "text", cut, schema)
+    return per_batch(keyed(docs), "text", cut, schema, most=1 << 20)
 
 
 def piece_bytes(docs: DataFrame, wanted: DataFrame, w: Windows) -> DataFrame:
@@ -237,12 +274,14 @@ def indexed_spans(pieces: DataFrame, w: Windows, blocks: int) -> DataFrame:
         strings = rows.column("bytes").to_pylist()
         index = RunLengthIndex(strings)
         start, windows = rows.column("start").to_numpy(), rows.column("windows").to_numpy()
-        at, low, high = [], [], []
-        for i in np.flatnonzero(rows.column("copies").to_numpy() == 1):
-            first, last = runs_of(index.statistics(i, windows[i]) >= w.length)
-            at += [i] * len(first)
-            low += (start[i] + first).tolist()
-            high += (start[i] + last - 1 + w.length).tolist()
+        alone = rows.column("copies").to_numpy() == 1
+        edges = np.zeros(len(index.ends) + 1, np.int64)
+        np.add.at(edges, index.starts[alone], 1)
+        np.add.at(edges, index.starts[alone] + windows[alone], -1)
+        first, last = runs_of((np.cumsum(edges[:-1]) > 0) & (index.statistics() >= w.length))
+        at = np.searchsorted(index.starts, first, "right") - 1
+        low = start[at] + first - index.starts[at]
+        high = start[at] + last - index.starts[at] - 1 + w.length
         at = pa.array(at, pa.int64())
         return pa.table(
             {
