@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     bagminhash,
     bpe_tree,
+    context_mixing,
     histogram_sort,
+    license_scan,
     ppm_language,
     run_length_dedup,
     suffix_automaton,
@@ -88,6 +90,16 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encoded(table(spark, sf_dir, "documents"), *vocabulary()).drop("ids")
 
 
+@query
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.language_model_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_matches(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repetition.quality(table(spark, sf_dir, "documents"))
