@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .columns import buffer_of, checked, per_batch, text_key
+from .columns import buffer_of, checked, per_batch, ship, text_key
 from .components import connected_components
 from .words import mixed, span_hashes, shingles, word_spans
 
@@ -201,22 +201,80 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, bands: Bands) -> DataFrame
     return per_batch(both, "text_a", run, "a binary, b binary")
 
 
-def unlike_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of different components that share a band and may reach the similarity by their signatures.
-
-    A pair at the similarity agrees in that share of the registers on average;
-    five eighths of it is more than seven deviations below.
+def occurrences(text: bytes, width: int) -> np.ndarray:
+    """A hash for each occurrence of each shingle, so that a bag is a set."""
+    found, times = bag(text, width)
+    repeated = np.repeat(found, times)
+    number = np.arange(len(repeated)) - np.repeat(np.cumsum(times) - times, times)
+    return mixed(repeated + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """(len(a), len(b)) sizes of the intersections of sets; products of 0/1 matrices, some columns at a time."""
+    sets = a + b
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = np.bincount(number, weights=owner < len(a), minlength=len(values))
+    useful = (both > 0) & (both < times)
+    number, owner = (np.cumsum(useful) - 1)[number[useful[number]]], owner[useful[number]]
+    out = np.zeros((len(a), len(b)), np.float32)
+    by = np.argsort(number, kind="stable")
+    number, owner = number[by], owner[by]
+    for low in range(0, int(useful.sum()), columns):
+        part = slice(*np.searchsorted(number, [low, low + columns]))
+        m = np.zeros((len(sets), columns), np.float32)
+        m[owner[part], number[part] - low] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def crowded_links(members: DataFrame, texts: DataFrame, labels: DataFrame, bands: Bands, chunk: int = 256) -> DataFrame:
+    """Links between nodes of one band that the comparison with its least node left in different components.
+
+    The nodes outside the band's largest component are compared with all nodes of
+    the band, in squares of ``chunk`` by ``chunk``: a task multiplies the 0/1
+    matrices of a square, so pairs are never rows, and returns at most one link
+    between two components.
     """
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rest = named.join(mixed_bands.select("band"), "band").join(nodes.select("node", "signature"), "node")
-    x = rest.select("band", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "signature")])
-    y = rest.select("band", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "signature")])
-    same = F.zip_with("signature_x", "signature_y", lambda p, q: (p == q).cast("int"))
-    agree = F.aggregate(same, F.lit(0), lambda total, one: total + one)
-    least = int(bands.registers * bands.similarity * 5 / 8)
-    found = x.join(y, "band").where("node_x < node_y AND component_x != component_y").where(agree >= least)
-    return found.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    parts = named.groupBy("band", "component").count()
+    ranked = parts.groupBy("band").agg(
+        F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("components")
+    ).where("components > 1")
+    ranked = ranked.select("band", "n", F.col("main.component").alias("main"), (F.col("n") - F.col("main.count")).alias("outside"))
+    rest = named.join(ranked, "band")
+    chunks = lambda n: F.ceil(F.col(n) / chunk).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), chunks(n)).cast("int")
+    columns = ["band", "node", "component"]
+    asked = rest.where("component != main").select(
+        *columns, own("outside").alias("x"), F.explode(F.sequence(F.lit(0), chunks("n") - 1)).alias("y"), F.lit(True).alias("asks")
+    )
+    met = rest.select(
+        *columns, F.explode(F.sequence(F.lit(0), chunks("outside") - 1)).alias("x"), own("n").alias("y"), F.lit(False).alias("asks")
+    )
+    squares = asked.unionByName(met).join(texts, "node")
+    ship(members.sparkSession)
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        nodes, component = table.column("node").to_pylist(), table.column("component").to_pylist()
+        sets = [occurrences(x.encode(), bands.width) for x in table.column("text").to_pylist()]
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found: dict[tuple, tuple] = {}
+        if len(a) and len(b):
+            shared = shared_counts([sets[i] for i in a], [sets[i] for i in b])
+            sizes = np.array([len(x) for x in sets])
+            union = sizes[a][:, None] + sizes[b][None] - shared
+            for i, j in zip(*np.nonzero(shared.astype(float) / union >= bands.similarity)):
+                x, y = component[a[i]], component[b[j]]
+                if x != y:
+                    found.setdefault((min(x, y), max(x, y)), (nodes[a[i]], nodes[b[j]]))
+        links = list(found.values())
+        return pa.table(
+            {"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())}
+        )
+
+    return squares.groupBy("band", "x", "y").applyInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
@@ -225,8 +283,7 @@ def near_duplicates(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     ``class_id`` is the least doc_id of the class and ``class_size`` its rows.
     Texts of the same words are one node, so copies are never compared.  In each
     band the other nodes are first compared with the least one; nodes of different
-    components that still share a band are then compared where their signatures
-    agree enough to reach the similarity at all.  Null texts and texts without
+    components that still share a band are then compared square by square.  Null texts and texts without
     words are classes of their own.  Rows that repeat count as copies; ties do not
     arise; an empty table gives an empty result.
     """
@@ -247,7 +304,7 @@ def near_duplicates(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     first = members.join(leaders, "band").where("node != a").select("a", F.col("node").alias("b")).distinct()
     links = materialize(similar_pairs(first, texts, bands), "bag-links")
     labels = connected_components(links)
-    more = materialize(similar_pairs(unlike_pairs(members, nodes, labels, bands), texts, bands), "bag-links")
+    more = materialize(crowded_links(members, texts, labels, bands), "bag-links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
     named = marked.where("node IS NOT NULL").select("doc_id", "node").join(labels, "node", "left")
