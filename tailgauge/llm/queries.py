@@ -12,6 +12,7 @@ from . import (
     context_mixing,
     histogram_sort,
     license_scan,
+    paragraph_dedup,
     ppm_language,
     run_length_dedup,
     suffix_automaton,
@@ -38,6 +39,11 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query
+def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_length_dedup.removal_report(table(spark, sf_dir, "documents"))
