@@ -333,6 +333,7 @@ def repeated_spans(docs: DataFrame, w: Windows = Windows()) -> DataFrame:
         F.count("*").alias("n"), F.min("content").alias("least"), F.max("content").alias("most")
     )
     anchors = anchors.where("n > 1").select("anchor", (F.col("least") < F.col("most")).alias("differ"))
+    anchors = materialize(anchors, "rl-anchors")  # read by the join on its own, a frequent anchor's rows can be split
     shared = materialize(pieces.join(anchors, "anchor"), "rl-shared")
     kinds = shared.where("differ").groupBy("anchor", "content").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "start", "windows")).alias("one")
@@ -399,10 +400,12 @@ def without_repeats(docs: DataFrame, w: Windows = Windows()) -> DataFrame:
     A character of which bytes are removed goes as a whole, ``n_chars`` is counted
     anew where it is present, and texts without repeats keep null or their value.
     """
-    spans = repeated_spans(docs, w).withColumnRenamed("doc_id", "_span_id").withColumnRenamed("key", "_span_key")
+    spans = repeated_spans(docs, w).select(
+        F.col("doc_id").alias("_span_id"), F.col("key").alias("_span_key"), F.col("spans").alias("_spans")
+    )
     joined = docs.join(
         spans, (text_key("text") == F.col("_span_key")) & docs["doc_id"].eqNullSafe(F.col("_span_id")), "left"
-    ).select(*[docs[c] for c in docs.columns], F.col("spans").alias("_spans"))
+    ).select(*[docs[c] for c in docs.columns], "_spans")
     at, marks = docs.columns.index("text"), len(docs.columns)
     ship(docs.sparkSession)
 
