@@ -136,8 +136,10 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, s: Scan = Scan()) -> D
                 F.concat(none, *[window_bands(h, k, max(1, k // 2), s) for k in sizes]), lambda w: w["band"].isin(bands)
             ),
         ),
-    ).where(F.size("windows") > 0)
-    met = met.select("doc_id", "hashes", F.explode("windows").alias("w")).select("doc_id", "hashes", "w.start", "w.band")
+    )
+    # an inner explode would have the optimizer compute the windows again in filters of its own
+    met = met.select("doc_id", "hashes", F.explode_outer("windows").alias("w")).where("w IS NOT NULL")
+    met = met.select("doc_id", "hashes", "w.start", "w.band")
     # both are as large as the templates, an argument that the driver holds
     found = met.join(F.broadcast(marks), "band").join(F.broadcast(known), "template")
     size = F.size("shingles")
