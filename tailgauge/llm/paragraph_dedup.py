@@ -2,9 +2,8 @@
 
 A paragraph is a line with a word.  Equal paragraphs (case and white space aside)
 are one node.  Each node's five-word shingles give a MinHash signature by one
-permutation with optimal densification; ``bands`` of ``rows`` registers are tuned
-for recall, so that a pair at the similarity is missed with a probability of about
-3e-6.  Paragraphs that collide are compared: with the band's least one first, then
+permutation with optimal densification; 14 bands of 3 registers are tuned for
+recall: a pair at a similarity of 0.8 is missed with a probability of about 4e-5.  Paragraphs that collide are compared: with the band's least one first, then
 square by square where components are left that share a band, always by exact
 Jaccard similarity of the shingles.  Removals are decided by component: the
 paragraph that comes first, by doc_id and line, stays, every other one goes.
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .bagminhash import Bands, band_rows, crowded_links, similar_pairs
+from .bagminhash import Bands, crowded_links, similar_pairs
 from .columns import buffer_of, checked, per_batch, text_key
 from .components import connected_components
 from .words import mixed, shingles, span_hashes, word_spans
@@ -32,7 +31,7 @@ class Paragraphs:
     """Shorter paragraphs than ``least_words`` are compared by equality alone."""
 
     least_words: int = 5
-    bands: Bands = Bands()
+    bands: Bands = Bands(count=14, rows=3)
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,10 +64,18 @@ def minhash(document: np.ndarray, shingle: np.ndarray, n: int, registers: int) -
     return filled
 
 
+def band_hashes(points: np.ndarray, bands: Bands) -> np.ndarray:
+    """(n, bands) hashes of the registers of each band and its number."""
+    out = np.tile(np.arange(bands.count, dtype=np.uint64), (len(points), 1))
+    for k in range(bands.rows):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + points[:, k :: bands.rows])
+    return out
+
+
 def paragraphs(docs: DataFrame, p: Paragraphs) -> DataFrame:
-    """(doc_id, key, line, words, node, signature) of every paragraph.
+    """(doc_id, key, line, words, node, bands) of every paragraph.
 
-    ``node`` is a digest of the words; the signature is null under ``least_words``.
+    ``node`` is an 80-bit digest of the words; there are no bands under ``least_words``.
     """
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -82,18 +89,18 @@ def paragraphs(docs: DataFrame, p: Paragraphs) -> DataFrame:
         at = np.concatenate([[0], np.cumsum(counts)])
         document, found = shingles(hashes, counts, p.bands.width)
         points = minhash(document, found, len(counts), p.bands.registers)
-        marks = (points >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        marks = band_hashes(points, p.bands).view(np.int64)
         kept = np.flatnonzero(counts > 0)
         take = pa.array(text[kept])
         return {
             "doc_id": batch.column(0).take(take), "key": batch.column(2).take(take), "line": line[kept],
             "words": counts[kept],
-            "node": [hashlib.blake2b(second[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() for i in kept],
-            "signature": [marks[i] if counts[i] >= p.least_words else None for i in kept],
+            "node": [hashlib.blake2b(second[at[i] : at[i + 1]].tobytes(), digest_size=10).digest() for i in kept],
+            "bands": [marks[i] if counts[i] >= p.least_words else None for i in kept],
         }
 
     rows = checked(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", text_key("text").alias("key"))
-    schema = "doc_id long, key long, line int, words int, node binary, signature array<int>"
+    schema = "doc_id long, key long, line int, words int, node binary, bands array<long>"
     return per_batch(rows, "text", cut, schema, most=1 << 20)
 
 
@@ -116,16 +123,12 @@ def paragraph_classes(docs: DataFrame, p: Paragraphs = Paragraphs()) -> DataFram
     """
     cut = materialize(paragraphs(docs, p), "paragraph-cut")
     nodes = cut.groupBy("node").agg(F.min(F.struct("doc_id", "line", "key")).alias("first"), F.count("*").alias("n"))
-    signed = materialize(
-        cut.where("signature IS NOT NULL").groupBy("node").agg(
-            F.first("signature").alias("signature"), F.min(F.struct("doc_id", "key", "line")).alias("row")
-        ),
-        "paragraph-nodes",
-    )
-    rows = band_rows(signed, p.bands)
+    rows = cut.where("bands IS NOT NULL").select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").count().where("count > 1").select("band")
-    members = materialize(rows.join(shared, "band"), "paragraph-bands")
-    met = signed.join(members.select("node").distinct(), "node").select("node", "row.*")
+    # a band that only copies of one paragraph share has one row left
+    members = rows.join(shared, "band").distinct()
+    members = materialize(members, "paragraph-bands")
+    met = nodes.join(members.select("node").distinct(), "node").select("node", "first.*")
     texts = materialize(line_texts(docs, met), "paragraph-texts")
     leaders = members.groupBy("band").agg(F.min("node").alias("a"))
     first = members.join(leaders, "band").where("node != a").select("a", F.col("node").alias("b")).distinct()
@@ -138,7 +141,7 @@ def paragraph_classes(docs: DataFrame, p: Paragraphs = Paragraphs()) -> DataFram
     # the first paragraph of each class; classes of one single paragraph have nothing to remove
     heads = named.groupBy("class").agg(F.min("first").alias("head"), F.sum("n").alias("size")).where("size > 1")
     crowd = materialize(named.join(heads, "class").select("node", "head"), "paragraph-heads")
-    found = cut.drop("signature").join(crowd, "node", "left")
+    found = cut.drop("bands").join(crowd, "node", "left")
     own = F.struct("doc_id", "line", "key")
     return found.select("doc_id", "key", "line", "words", (F.col("head").isNull() | (F.col("head") == own)).alias("kept"))
 
