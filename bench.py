@@ -74,7 +74,7 @@ def main() -> None:
             best = spent if best is None else min(best, spent)
         seconds[name] = round(best, 4)
     start = time.perf_counter()
-    run(walk_forward_model(features, BOOSTED, FEATURES_7, first=250, refit_every=50, refits=45))
+    run(walk_forward_model(features, BOOSTED, FEATURES_7, first=250, refit_every=50))
     seconds["gb_walk_forward_180_models_5_stages"] = round(time.perf_counter() - start, 4)
     print(
         json.dumps(

@@ -80,17 +80,19 @@ def holdout_predictions(features: DataFrame, grid: Mapping[str, Candidate], colu
 
 
 def walk_forward_model(features: DataFrame, candidate: Candidate, columns: Sequence[str], first: int,
-                       refit_every: int, refits: int, rolling: int | None = None, max_bins: int = 64) -> DataFrame:
+                       refit_every: int, rolling: int | None = None, max_bins: int = 64) -> DataFrame:
     """Refit every ``refit_every`` sessions on all earlier (or the last ``rolling``) rows.
 
-    Refit k predicts sessions first + k * refit_every up to the next refit; the
-    last one predicts to the end.  ``refit_every`` 1 is one model per target.
+    Refit k predicts sessions first + k * refit_every up to the next refit, for as
+    many refits as a series has sessions.  ``refit_every`` 1 is one model per target.
     """
     numbered = materialize(number_sessions(features, ("series_id",), "target_date"), "numbered")
-    train = training_rows(numbered, refits, first, refit_every, rolling)
+    last = numbered.agg(F.max("position")).first()[0]
     valid = numbered.filter(F.col("position") >= first).withColumn(
-        "task", F.least(F.floor((F.col("position") - first) / refit_every), F.lit(refits - 1)).cast("int")
+        "task", F.floor((F.col("position") - first) / refit_every).cast("int")
     )
+    train = training_rows(numbered, max(0, (last or 0) - first) // refit_every + 1, first, refit_every, rolling)
+    train = train.join(valid.select("series_id", "task").distinct(), ["series_id", "task"], "left_semi")
     rows = _task_rows(
         train.withColumnRenamed("task", "refit"), valid.withColumnRenamed("task", "refit"), "refit", columns
     )

@@ -13,22 +13,24 @@ OHLCV = ["open", "high", "low", "close", "volume"]
 def align_calendars(bars: DataFrame, tickers: int | None = None) -> DataFrame:
     """Keep the sessions on which every ticker has a bar.
 
-    The bars of a session (one per ticker) are counted where they meet, so the
-    panel is read and shuffled once; a semi join would read it twice.  Without
-    ``tickers`` their number is taken from the panel itself.
+    Different tickers are counted by an aggregate that tasks combine first, so a
+    session with very many bars is no large group and a repeated bar counts once.
+    Without ``tickers`` their number is taken from the panel itself.
     """
-    counted = bars.withColumn("_tickers", F.count(F.lit(1)).over(Window.partitionBy("date")))
+    counted = bars.groupBy("date").agg(F.count_distinct("ticker").alias("_tickers"))
     if tickers is not None:
-        return counted.filter(F.col("_tickers") == tickers).drop("_tickers")
-    total = bars.agg(F.count_distinct("ticker").alias("_wanted"))
-    return counted.join(total, F.col("_tickers") == F.col("_wanted")).drop("_tickers", "_wanted")
+        whole = counted.filter(F.col("_tickers") == tickers)
+    else:
+        total = bars.agg(F.count_distinct("ticker").alias("_wanted"))
+        whole = counted.join(total, F.col("_tickers") == F.col("_wanted"))
+    return bars.join(whole.select("date"), "date", "left_semi")
 
 
 def calendar_mismatch(bars: DataFrame, tickers: int) -> DataFrame:
     """Sessions that some tickers have and others miss."""
     return (
         bars.groupBy("date")
-        .agg(F.count(F.lit(1)).alias("tickers"))
+        .agg(F.count_distinct("ticker").alias("tickers"))
         .filter(F.col("tickers") != tickers)
     )
 

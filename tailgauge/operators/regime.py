@@ -22,7 +22,10 @@ def prior_volatility(returns: DataFrame, window: int = 20) -> DataFrame:
 
 def volatility_regime(returns: DataFrame, predictions: DataFrame, window: int = 20,
                       low: float = 1.0 / 3.0, high: float = 2.0 / 3.0) -> DataFrame:
-    """Predictions with the regime of their target and the two thresholds of their series."""
+    """Predictions with the regime of their target and the two thresholds of their series.
+
+    A target without volatility, or a series without thresholds, is an error.
+    """
     prior = prior_volatility(returns, window)
     starts = predictions.groupBy("series_id").agg(F.min("target_date").alias("_start"))
     bounds = (
@@ -34,16 +37,20 @@ def volatility_regime(returns: DataFrame, predictions: DataFrame, window: int =
             F.percentile("prior_vol", F.lit(high)).alias("high_vol_threshold"),
         )
     )
-    return (
+    classified = (
         predictions.join(prior, ["series_id", "target_date"], "left")
         .join(bounds, "series_id", "left")
         .withColumn(
             "regime",
             F.when(F.col("prior_vol") < F.col("low_vol_threshold"), "LOW")
             .when(F.col("prior_vol") > F.col("high_vol_threshold"), "HIGH")
-            .otherwise("NORMAL"),
+            .when(F.col("prior_vol").isNotNull() & F.col("low_vol_threshold").isNotNull(), "NORMAL"),
         )
     )
+    missing = classified.filter(F.col("regime").isNull()).limit(1).collect()
+    if missing:
+        raise ValueError(f"no volatility regime for {missing[0]['series_id']} on {missing[0]['target_date']}")
+    return classified
 
 
 def regime_metrics(classified: DataFrame, alpha: float = ALPHA) -> DataFrame:

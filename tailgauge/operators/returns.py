@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finite, ordered_by, so_far
-from .alignment import align_calendars
+from .alignment import align_calendars, calendar_mismatch
 from .blocked import with_running_log_wealth, with_window_columns
 
 
@@ -107,15 +107,24 @@ def portfolio_log_return(portfolio: DataFrame, value: str = "portfolio_simple_re
     )
 
 
-def build_portfolio(bars: DataFrame, tickers: int | None = None) -> DataFrame:
-    """Equal-weight portfolio on the sessions all tickers share."""
-    aligned = align_calendars(bars, tickers)
+def build_portfolio(bars: DataFrame, tickers: int) -> DataFrame:
+    """Equal-weight portfolio of a panel on one calendar.
+
+    A session that some ticker misses is refused, because the next return would
+    span the gap; so is a portfolio return of -1 or less, which has no logarithm.
+    """
+    gap = calendar_mismatch(bars, tickers).limit(1).collect()
+    if gap:
+        raise ValueError(f"calendars differ on {gap[0]['date']}: {gap[0]['tickers']} of {tickers} tickers")
     per_date = (
-        simple_return(aligned)
+        simple_return(bars)
         .groupBy("date")
         .agg(F.avg("simple_return").alias("portfolio_simple_return"))
         .filter(F.col("portfolio_simple_return").isNotNull())
     )
+    lost = per_date.filter("portfolio_simple_return <= -1").limit(1).collect()
+    if lost:
+        raise ValueError(f"portfolio return of {lost[0]['portfolio_simple_return']} on {lost[0]['date']}")
     return portfolio_log_return(per_date)
 
 
@@ -218,10 +227,9 @@ def price_drawdown(bars: DataFrame) -> DataFrame:
     return bars.select("ticker", "date", (F.col("close") / peak - 1.0).alias("drawdown"))
 
 
-def return_rebuild_check(bars: DataFrame, stored: DataFrame, tickers: int | None = None,
-                         tolerance: float = 1e-12) -> DataFrame:
+def return_rebuild_check(bars: DataFrame, stored: DataFrame, tickers: int, tolerance: float = 1e-12) -> DataFrame:
     """Portfolio returns rebuilt from prices against stored ones."""
-    joined = build_portfolio(bars, tickers).select("date", F.col("portfolio_simple_return").alias("_a")).join(
+    joined = build_portfolio(align_calendars(bars, tickers), tickers).select("date", F.col("portfolio_simple_return").alias("_a")).join(
         stored.select("date", F.col("portfolio_simple_return").alias("_b")), "date", "full_outer"
     )
     gap = F.abs(F.col("_a") - F.col("_b"))

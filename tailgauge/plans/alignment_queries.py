@@ -119,13 +119,14 @@ def _(t: Tables):
 
 TASKS = """
   SELECT series_id, task, count(*) AS train_rows, min(target_date) AS train_start, max(target_date) AS train_end
-  FROM folded, (SELECT CAST(unnest(range(5)) AS INTEGER) AS task) WHERE position < 500 + task * 100 {extra} GROUP BY 1, 2
+  FROM folded, (SELECT CAST(unnest(range((SELECT greatest(1, (max(position) - 500) // 100 + 1) FROM folded))) AS INTEGER) AS task) WHERE position < 500 + task * 100 {extra} GROUP BY 1, 2
 """
 
 
 def _training(t: Tables, rolling: int | None):
     numbered = number_sessions(t.features, ("series_id",), "target_date")
-    rows = J.training_rows(numbered, tasks=5, first_task_position=500, step=100, rolling=rolling)
+    last = numbered.agg(F.max("position")).first()[0]
+    rows = J.training_rows(numbered, tasks=max(1, (last - 500) // 100 + 1), first_task_position=500, step=100, rolling=rolling)
     return rows.groupBy("series_id", "task").agg(
         F.count(F.lit(1)).alias("train_rows"), F.min("target_date").alias("train_start"),
         F.max("target_date").alias("train_end"),

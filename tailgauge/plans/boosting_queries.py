@@ -44,12 +44,12 @@ def _(t: Tables):
 
 @query("walk_forward_model")
 def _(t: Tables):
-    return B.walk_forward_model(t.features, BASE, FEATURES_12, first=250, refit_every=125, refits=20)
+    return B.walk_forward_model(t.features, BASE, FEATURES_12, first=250, refit_every=125)
 
 
 @query("walk_forward_model_rolling")
 def _(t: Tables):
-    return B.walk_forward_model(t.features, BASE, FEATURES_7, first=250, refit_every=250, refits=10, rolling=250)
+    return B.walk_forward_model(t.features, BASE, FEATURES_7, first=250, refit_every=250, rolling=250)
 
 
 @query("cv_predictions")

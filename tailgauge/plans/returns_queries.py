@@ -72,7 +72,7 @@ def _(t: Tables):
   FROM rets GROUP BY 1
 """, "portfolio_simple_return portfolio_log_return")
 def _(t: Tables):
-    return R.build_portfolio(t.bars, len(TICKERS))
+    return R.build_portfolio(t.aligned, len(TICKERS))
 
 
 @query("return_identity", "rets", """

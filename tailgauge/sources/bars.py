@@ -25,6 +25,7 @@ def read_ohlcv_csv(spark: SparkSession, path: str | Sequence[str], columns: Sequ
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
+        .option("enforceSchema", False)  # columns go by the header, a file with others is an error
         .csv(paths)
         .withColumn("source_file", F.col("_metadata.file_path"))
         .withColumn("ordinal", F.monotonically_increasing_id())
@@ -53,7 +54,7 @@ def read_market_snapshot(bars: DataFrame, required: Sequence[str]) -> DataFrame:
         F.upper(F.trim("ticker")).alias("ticker"),
         F.to_date("date").alias("date"),
         *[F.nanvl(F.col(c).cast("string").try_cast("double"), F.lit(None).cast("double")).alias(c) for c in OHLCV],
-    ).filter(F.col("ticker").isin(list(required)))
+    )
     incomplete = F.lit(False)
     for name in ["date", *OHLCV]:
         incomplete = incomplete | F.col(name).isNull()

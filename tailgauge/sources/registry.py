@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import finite, var_from_quantile
 from ..functions.parsing import EXCHANGE_ZONE
+from ..session import materialize
 
 KEY = ["model_name", "model_version", "target_date"]
 COLUMNS = [
@@ -36,10 +37,11 @@ def rules() -> dict[str, Column]:
 
 
 def judge_forecasts(registry: DataFrame | None, new: DataFrame) -> DataFrame:
-    """New rows with ``rejected_for``: the first broken rule, a repeated key, or NULL when acceptable.
+    """New rows with ``rejected_for``: the first broken rule, a repeated key or id, or NULL when acceptable.
 
-    Copies inside the batch are found by aggregation, copies of stored keys by
-    one join on the key.
+    The batch is written once with row numbers, so of equal rows exactly one is
+    accepted.  Copies inside it are found by aggregation, copies of stored keys and
+    ids by one join each.
     """
     reason = F.lit(None).cast("string")
     for name, condition in reversed(list(rules().items())):
@@ -55,17 +57,18 @@ def judge_forecasts(registry: DataFrame | None, new: DataFrame) -> DataFrame:
             "var_return": var_from_quantile(F.col("quantile_return")),
         }
     ).withColumn("_rule", reason)
-    first = (
-        judged.filter(F.col("_rule").isNull())
-        .groupBy(*KEY)
-        .agg(F.min("forecast_id").alias("_first_id"))
-    )
-    judged = judged.join(first, KEY, "left")
-    duplicate = F.col("_first_id") != F.col("forecast_id")
+    judged = materialize(judged.withColumn("_row", F.monotonically_increasing_id()), "judged")
+    good = judged.filter(F.col("_rule").isNull())
+    # of rows that share a key, and of rows that share an id, the one of the least id stays
+    first = good.groupBy(*KEY).agg(F.min(F.struct("forecast_id", "_row"))["_row"].alias("_first"))
+    named = good.groupBy("forecast_id").agg(F.min("_row").alias("_named"))
+    judged = judged.join(first, KEY, "left").join(named, "forecast_id", "left")
+    duplicate = (F.col("_first") != F.col("_row")) | (F.col("_named") != F.col("_row"))
     if registry is not None:
-        stored = registry.select(*KEY, F.lit(True).alias("_stored")).distinct()
-        judged = judged.join(stored, KEY, "left")
-        duplicate = duplicate | F.coalesce(F.col("_stored"), F.lit(False))
+        keys = registry.select(*KEY, F.lit(True).alias("_stored")).distinct()
+        ids = registry.select("forecast_id", F.lit(True).alias("_known")).distinct()
+        judged = judged.join(keys, KEY, "left").join(ids, "forecast_id", "left")
+        duplicate = duplicate | F.coalesce(F.col("_stored"), F.col("_known"), F.lit(False))
     return judged.select(
         *COLUMNS,
         F.coalesce(F.col("_rule"), F.when(duplicate, F.lit("duplicate_key"))).alias("rejected_for"),
@@ -80,15 +83,15 @@ def register_forecasts(spark: SparkSession, path: str, new: DataFrame, rejects:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         registry = None
-    judged = judge_forecasts(registry, new)
+    judged = materialize(judge_forecasts(registry, new), "judged-batch")
     refused = judged.filter(F.col("rejected_for").isNotNull())
     if rejects is None:
         found = refused.limit(1).collect()
         if found:
             raise ValueError(f"forecast {found[0]['forecast_id']} rejected for {found[0]['rejected_for']}")
-    else:
-        refused.write.mode("append").parquet(rejects)
     judged.filter(F.col("rejected_for").isNull()).drop("rejected_for").write.mode("append").parquet(path)
+    if rejects is not None:
+        refused.write.mode("append").parquet(rejects)
     return spark.read.parquet(path)
 
 

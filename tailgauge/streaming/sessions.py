@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.parsing import eligible_session, parse_trading_date
 from ..operators.alignment import calendar_mismatch, new_sessions, revised_rows
 from ..operators.cleaning import freshness_check, strict_normalize
 from ..operators.returns import build_portfolio
+from ..session import materialize
 from ..sources.bars import BAR_COLUMNS
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in BAR_COLUMNS])
@@ -22,11 +26,13 @@ class SessionStore:
     the same batch again, so a repeated or half-written batch leaves no copies.
     """
 
-    def __init__(self, spark: SparkSession, root: str, tickers: int, max_age: int = 4) -> None:
+    def __init__(self, spark: SparkSession, root: str, tickers: int, max_age: int = 4,
+                 as_of: datetime | None = None) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
         self.tickers = tickers
         self.max_age = max_age
+        self.as_of = as_of
 
     @property
     def bars_path(self) -> str:
@@ -45,8 +51,12 @@ class SessionStore:
         return stored.select(*BAR_COLUMNS)
 
     def portfolio(self) -> DataFrame:
+        """The latest return of each session: a late session changes the return of the one after it."""
         schema = "date date, portfolio_simple_return double, portfolio_log_return double"
-        return self.spark.read.schema(f"{schema}, {BATCH} long").parquet(self.portfolio_path).drop(BATCH)
+        stored = self.spark.read.schema(f"{schema}, {BATCH} long").parquet(self.portfolio_path)
+        return stored.groupBy("date").agg(
+            *[F.max_by(c, BATCH).alias(c) for c in ("portfolio_simple_return", "portfolio_log_return")]
+        )
 
     def _replace(self, rows: DataFrame, path: str, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
@@ -60,28 +70,45 @@ class SessionStore:
         """Strict clean, revision check, calendar and freshness gates; then append.
 
         Every gate is evaluated before the first write: a batch is published whole
-        or not at all.
+        or not at all.  Dates are read as the cleaning reads them; an unreadable
+        date, a session after the cutoff and a batch without rows are errors.  The
+        cutoff is the last finished session at ``as_of``, or the batch's own last one.
         """
-        latest = raw.select(F.max(F.to_date(F.col("date").try_cast("date"))).alias("d")).first()["d"]
-        if latest is None:
-            return
-        cutoff = F.lit(latest)
-        incoming = strict_normalize(raw, cutoff)
+        raw = materialize(raw, "sessions-batch")
+        day = parse_trading_date(F.col("date"))
+        seen = raw.agg(
+            F.count("*").alias("rows"), F.count_if(day.isNull()).alias("unreadable"), F.min(day).alias("first"),
+            F.max(day).alias("last"),
+            (eligible_session(F.lit(self.as_of)) if self.as_of else F.max(day)).alias("cutoff"),
+        ).first()
+        if not seen["rows"]:
+            raise ValueError("a batch without rows")
+        if seen["unreadable"]:
+            raise ValueError(f"{seen['unreadable']} rows with an unreadable date")
+        if seen["last"] > seen["cutoff"]:
+            raise ValueError(f"session {seen['last']} is not finished at the cutoff {seen['cutoff']}")
+        cutoff = F.lit(seen["cutoff"])
+        incoming = materialize(strict_normalize(raw, cutoff), "sessions-incoming")
         stored = self.bars(before_batch=batch)
-        revised = revised_rows(stored, incoming).select("ticker", "field").limit(1).collect()
+        overlap = stored.filter(F.col("date") >= F.lit(seen["first"]))
+        revised = revised_rows(overlap, incoming).select("ticker", "field").limit(1).collect()
         if revised:
-            raise ValueError(f"{revised[0]['ticker']}: provider revised historical {revised[0]['field']}")
-        fresh = new_sessions(stored, incoming)
+            raise ValueError(f"{revised[0]['ticker']}: the batch changes {revised[0]['field']} of a stored session")
+        fresh = materialize(new_sessions(overlap, incoming), "sessions-fresh")
         if not calendar_mismatch(fresh, self.tickers).isEmpty():
             raise ValueError("trading dates of the new sessions are not aligned")
         behind = freshness_check(incoming, cutoff, self.max_age).filter(
             F.col("stale") | F.col("behind_others") | F.col("not_expected")
         )
         if not behind.isEmpty():
-            raise ValueError("a required ticker has no bar for the expected session")
+            raise ValueError("the expected session is missing for a required ticker")
+        earliest = fresh.agg(F.min("date").alias("d")).first()["d"]
+        if earliest is None:
+            return
+        # the session before the earliest new one gives its return; later stored sessions are rebuilt with it
+        base = stored.filter(F.col("date") < F.lit(earliest)).agg(F.max("date").alias("d")).first()["d"]
         self._replace(fresh, self.bars_path, batch)
-        last = stored.agg(F.max("date").alias("d")).first()["d"]
-        recent = self.bars(before_batch=batch + 1).filter(F.col("date") >= F.lit(last))
+        recent = self.bars(before_batch=batch + 1).filter(F.col("date") >= F.lit(base or earliest))
         self._replace(build_portfolio(recent, self.tickers), self.portfolio_path, batch)
 
 
@@ -90,14 +117,21 @@ def ingest_sessions_stream(store: SessionStore, source: str, checkpoint: str, fi
     raw = (
         store.spark.readStream.schema(RAW_SCHEMA)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(source)
     )
+    done: list[int] = []
+
+    def ingest(batch: DataFrame, number: int) -> None:
+        store.ingest(batch, number)
+        done.append(number)
+
     query = (
-        raw.writeStream.foreachBatch(lambda batch, number: store.ingest(batch, number))
+        raw.writeStream.foreachBatch(ingest)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return len(query.recentProgress)
+    return len(done)

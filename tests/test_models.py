@@ -182,7 +182,7 @@ def test_fold_predictions_do_not_see_the_future(spark, features):
 
 
 def test_refits_predict_every_later_session_once(spark, features):
-    out = walk_forward_model(features, Candidate(1, 0.1, 1, 5), ["x1"], first=100, refit_every=50, refits=3, max_bins=8)
+    out = walk_forward_model(features, Candidate(1, 0.1, 1, 5), ["x1"], first=100, refit_every=50, max_bins=8)
     rows = out.collect()
     assert len(rows) == 2 * 140 and len({(r.series_id, r.target_date) for r in rows}) == len(rows)
     assert {r.refit for r in rows} == {"0", "1", "2"}

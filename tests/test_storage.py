@@ -105,7 +105,7 @@ def test_file_order_is_kept(spark, tmp_path):
 
 
 def test_snapshot_guards(spark, panel):
-    assert read_market_snapshot(panel.withColumn("ticker", F.lower("ticker")), ["AAA", "BBB"]).count() == 80
+    assert read_market_snapshot(panel.withColumn("ticker", F.lower("ticker")), ["AAA", "BBB"]).count() == 120
     with pytest.raises(ValueError, match="missing tickers"):
         read_market_snapshot(panel, ["AAA", "ZZZ"])
     with pytest.raises(ValueError, match="missing values"):
@@ -153,7 +153,7 @@ def test_stream_appends_new_sessions_batch_by_batch(spark, panel, store):
     "change, message",
     [
         (lambda d: d.withColumn("close", F.when(F.col("date") == "2020-02-05", F.col("close") + 0.5).otherwise(F.col("close"))),
-         "revised historical"),
+         "of a stored session"),
         (lambda d: d.filter((F.col("ticker") != "BBB") | (F.col("date") < "2020-02-12")), "not aligned|expected session"),
         (lambda d: d.withColumn("volume", F.lit(-1.0)), "negative_volume"),
         (lambda d: d.unionByName(d.limit(1)), "duplicate_dates"),
@@ -165,3 +165,84 @@ def test_a_bad_batch_publishes_nothing(spark, panel, store, change, message):
     with pytest.raises(Exception, match=message):
         arrive(store, bad)
     assert store.bars().count() == bars and store.portfolio().count() == portfolio
+
+
+def as_text(rows, day="yyyy-MM-dd"):
+    return rows.select([F.date_format(c, day).alias(c) if c == "date" else F.col(c).cast("string").alias(c) for c in rows.columns])
+
+
+@pytest.mark.parametrize("day", ["yyyy/MM/dd", "MM/dd/yyyy"])
+def test_other_date_spellings_are_stored(panel, store, day):
+    store.ingest(as_text(panel.filter(F.col("date").between("2020-02-03", "2020-02-14")), day), 0)
+    assert store.bars().filter("date <= '2020-02-14'").exceptAll(panel).isEmpty()
+    assert store.bars().agg(F.max("date").cast("string")).first()[0] == "2020-02-14"
+
+
+def test_evening_stamps_belong_to_the_next_session(panel, store):
+    rows = panel.filter(F.col("date").between("2020-02-11", "2020-02-14"))
+    store.ingest(as_text(rows.withColumn("date", F.date_sub("date", 1)), "yyyy-MM-dd 20:00:00"), 0)
+    assert store.bars().filter("date >= '2020-02-11'").count() == rows.count()
+
+
+def test_unreadable_dates_empty_batches_and_open_sessions_are_refused(spark, panel, store):
+    from datetime import datetime
+
+    rows = as_text(panel.filter(F.col("date").between("2020-02-03", "2020-02-14")))
+    with pytest.raises(ValueError, match="unreadable date"):
+        store.ingest(rows.withColumn("date", F.when(F.col("ticker") == "AAA", "soon").otherwise(F.col("date"))), 0)
+    with pytest.raises(ValueError, match="without rows"):
+        store.ingest(rows.limit(0), 0)
+    late = SessionStore(spark, store.root, 3, as_of=datetime(2020, 2, 13, 3))
+    with pytest.raises(ValueError, match="not finished"):
+        late.ingest(rows, 0)
+    assert store.bars().agg(F.max("date").cast("string")).first()[0] == "2020-02-07"
+
+
+def test_a_late_session_corrects_the_return_after_it(panel, store):
+    days = panel.filter(F.col("date").between("2020-02-10", "2020-02-14"))
+    store.ingest(as_text(days.filter("date != '2020-02-12'")), 0)
+    store.ingest(as_text(days.filter("date >= '2020-02-12'")), 1)
+    whole = SessionStore(panel.sparkSession, scratch_path(panel.sparkSession, "sessions"), 3)
+    whole.seed(panel.filter("date <= '2020-02-14'"))
+    assert store.portfolio().exceptAll(whole.portfolio()).isEmpty()
+    assert store.portfolio().count() == whole.portfolio().count()
+
+
+def test_files_with_other_column_order_are_refused(spark, tmp_path):
+    file = tmp_path / "swapped.csv"
+    file.write_text("ticker,date,close,high,low,open,volume\na,2024-01-02,1,2,3,4,5\n")
+    with pytest.raises(Exception, match="header|schema"):
+        read_ohlcv_csv(spark, str(file), ["ticker", "date", "open", "high", "low", "close", "volume"]).collect()
+
+
+def test_equal_rows_and_known_ids_are_registered_once(spark):
+    same = judge_forecasts(None, forecasts(spark, {}, {}).withColumn("forecast_id", F.lit("one"))).collect()
+    assert sorted(r.rejected_for or "" for r in same) == ["", "duplicate_key"]
+    stored = forecasts(spark, {}).withColumn("forecast_id", F.lit("one"))
+    other = forecasts(spark, {}).withColumns({"forecast_id": F.lit("one"), "model_version": F.lit("v9")})
+    assert [r.rejected_for for r in judge_forecasts(stored, other).collect()] == ["duplicate_key"]
+
+
+def test_portfolios_refuse_gaps_and_total_losses(panel):
+    from tailgauge.operators.returns import build_portfolio
+
+    with pytest.raises(ValueError, match="calendars differ"):
+        build_portfolio(panel.filter("ticker != 'AAA' OR date != '2020-01-08'"), 3)
+    with pytest.raises(ValueError, match="portfolio return"):
+        build_portfolio(panel.withColumn("close", F.when(F.col("date") == "2020-01-08", -500.0).otherwise(F.col("close"))), 3)
+
+
+def test_a_session_counts_tickers_not_rows(panel):
+    from tailgauge.operators.alignment import align_calendars
+
+    twice = panel.filter("date != '2020-01-08' OR ticker != 'CCC'").unionByName(panel.filter("date = '2020-01-08' AND ticker = 'AAA'"))
+    assert align_calendars(twice, 3).filter("date = '2020-01-08'").isEmpty()
+
+
+def test_written_tables_can_be_discarded(spark):
+    from tailgauge.session import discard, materialize
+
+    table = materialize(spark.range(5).toDF("n"), "short-lived")
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    discard(table)
+    assert not __import__("os").path.exists(folder)
