@@ -44,12 +44,12 @@ class Mixing:
     ``slot_bits``: log2 of each predictor's table, which bounds the model whatever the corpus.
     """
 
-    orders: tuple[int, ...] = (2, 3, 4, WORD)
+    orders: tuple[int, ...] = (3, 4, WORD)
     slot_bits: int = 22
     smoothing: float = 0.02
     segment: int = 1024
     rate: float = 0.02
-    weight: float = 0.25
+    weight: float = 0.33
     frequent: int = 1 << 17
 
     @property
@@ -173,8 +173,8 @@ def gather(training: DataFrame, m: Mixing) -> DataFrame:
         for k in range(len(m.orders)):
             pairs = totals[k]
             used = np.flatnonzero(pairs.any(1))
-            if len(used):
-                yield rows(k + 1, used, pairs[used, 0], pairs[used, 1])
+            for part in np.array_split(used, -(-len(used) // (1 << 16)) or 1):
+                yield rows(k + 1, part, pairs[part, 0], pairs[part, 1])
 
     ship(training.sparkSession)
     # a task's tables are sent once, so a few tasks for each core suffice
