@@ -1,4 +1,4 @@
-"""Documents with the awkward cases that every operator has to answer."""
+"""Documents with the awkward cases that every operator has to answer, and plain helpers."""
 
 from __future__ import annotations
 

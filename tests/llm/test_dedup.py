@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 
-from conftest import ascii_lower, words_of
+from cases import ascii_lower, messy, nothing, rows, words_of  # noqa: F401
 from tailgauge.llm import bagminhash, paragraph_dedup, run_length_dedup
 from tailgauge.llm.components import connected_components
 from tailgauge.llm.words import mixed

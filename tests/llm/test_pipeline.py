@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from cases import messy  # noqa: F401
 
 import corpus_pipeline
 from tailgauge.llm.queries import QUERIES, SQL, vocabulary

@@ -9,7 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import ascii_lower, prose, words_of
+from cases import ascii_lower, messy, nothing, prose, rows, words_of  # noqa: F401
 
 from tailgauge.llm import (
     bpe_tree,
