@@ -29,8 +29,8 @@ from .columns import checked, per_batch
 #: Strings up to this many bytes are encoded in one go.
 LEAF = 16
 NONE = 1 << 60
-#: A task forgets its remembered words beyond this many.
-REMEMBERED = 300_000
+#: A worker remembers at most twice this many stretches, half as many words, and as many pairs of tokens.
+REMEMBERED = 120_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
@@ -198,7 +198,7 @@ class Tokenizer:
             pattern = pattern.replace(short, name)
         self.split = regex.compile(pattern)
         self.decimal = {i: str(i) for i in self.encoder.tokens}
-        self.words, self.known = Remembered(), Remembered()
+        self.words, self.known = Remembered(REMEMBERED // 2), Remembered()
 
     def word(self, word: str) -> tuple[int, ...]:
         found = self.words.get(word)

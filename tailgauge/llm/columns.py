@@ -12,10 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, which separates words.
-SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-
-
 def checked(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; anything else a table carries cannot clash with them."""
     missing = [n for n in names if n not in docs.columns]
@@ -76,7 +72,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def per_batch(
-    df: DataFrame, column: str, function: Callable[[pa.RecordBatch], dict], schema: str, most: int = 4 << 20
+    df: DataFrame, column: str, function: Callable[[pa.RecordBatch], dict], schema: str, most: int = 1 << 20
 ) -> DataFrame:
     """Apply ``function`` to slices of bounded bytes; it returns the columns of ``schema`` by name."""
     from pyspark.sql.pandas.types import to_arrow_schema

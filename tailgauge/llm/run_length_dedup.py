@@ -22,7 +22,6 @@ ordinary aggregation that combines in every task first.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -238,7 +237,7 @@ def all_pieces(docs: DataFrame, w: Windows) -> DataFrame:
         return found | {"doc_id": batch.column(0).take(at), "key": batch.column(2).take(at)}
 
     schema = "doc_id long, key long, anchor long, content long, start int, windows int"
-    return per_batch(keyed(docs), "text", cut, schema, most=1 << 20)
+    return per_batch(keyed(docs), "text", cut, schema)
 
 
 def piece_bytes(docs: DataFrame, wanted: DataFrame, w: Windows) -> DataFrame:
@@ -262,7 +261,7 @@ def piece_bytes(docs: DataFrame, wanted: DataFrame, w: Windows) -> DataFrame:
         return out
 
     schema = "doc_id long, key long, anchor long, start int, windows int, copies long, many boolean, bytes binary"
-    return per_batch(by_document(packed_texts(docs), lists, "inner"), "packed", cut, schema, most=1 << 20)
+    return per_batch(by_document(packed_texts(docs), lists, "inner"), "packed", cut, schema)
 
 
 def indexed_spans(pieces: DataFrame, w: Windows, blocks: int) -> DataFrame:
@@ -386,7 +385,7 @@ def cut_texts(docs: DataFrame, w: Windows = Windows()) -> DataFrame:
 
     joined = by_document(packed_texts(docs), repeated_spans(docs, w), "left")
     schema = "doc_id long, key long, kept binary, n_bytes long, n_removed long, n_spans long"
-    return per_batch(joined, "packed", cut, schema, most=1 << 20)
+    return per_batch(joined, "packed", cut, schema)
 
 
 def removal_report(docs: DataFrame, w: Windows = Windows()) -> DataFrame:

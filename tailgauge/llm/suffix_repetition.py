@@ -169,4 +169,4 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         return found | {"doc_id": batch.column(0), "base_failed": failed, "kept": ~failed & good}
 
     rows = checked(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return per_batch(rows, "text", judge, SCHEMA, most=2 << 20)
+    return per_batch(rows, "text", judge, SCHEMA)
