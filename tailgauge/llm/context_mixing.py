@@ -5,8 +5,8 @@ hash of their context and of the bits of the present byte so far.  Contexts are
 last bytes, up to four, and the word so far; the tables hold how often a zero or a one followed, counted over all training
 texts.  A mixer adds the predictors' log-odds with weights that a gate, the bit's
 place in its byte, selects, and after each bit moves the weights of that gate
-towards what came.  The tables are frozen; the weights start equal and adapt anew
-in every stretch of ``segment`` bytes, so that stretches are coded side by side.
+towards what came.  The tables are frozen; the weights start equal and adapt from
+the first byte of a text to its last.  Texts of a batch are coded side by side.
 
 The count of the words of all texts, which the base score needs, travels with the
 same aggregation.  Frequent words, at most ``frequent`` of them, are looked up
@@ -44,12 +44,11 @@ class Mixing:
     ``slot_bits``: log2 of each predictor's table, which bounds the model whatever the corpus.
     """
 
-    orders: tuple[int, ...] = (3, 4, WORD)
+    orders: tuple[int, ...] = (1, 2, 3, 4, WORD)
     slot_bits: int = 22
     smoothing: float = 0.02
-    segment: int = 1024
     rate: float = 0.02
-    weight: float = 0.33
+    weight: float = 0.2
     frequent: int = 1 << 17
 
     @property
@@ -196,66 +195,61 @@ def log_odds(counts: DataFrame, m: Mixing) -> np.ndarray:
 
 
 def pair_inputs(model: np.ndarray, buffer: np.ndarray, m: Mixing) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each predictor the log-odds (pair, place in the byte) of the different pairs, and each position's pair."""
+    """For each predictor the log-odds of the coming bit (pair, place in the byte) of the different pairs, and each position's pair."""
     found = {}
     nothing = np.zeros(len(buffer), bool)
     for kind, before in contexts_of(buffer, m).items():
         different, _, pair = equal_pairs(before, buffer, nothing)
         present = (different & np.uint64(255)).astype(np.int64)
-        found[kind] = (different >> np.uint64(8)).astype(np.uint32), SPREAD[present], pair
+        found[kind] = (different >> np.uint64(8)).astype(np.uint32), present, pair
     inputs, pairs = [], []
     for table, order in zip(model, m.orders):
-        before, spread, pair = found[order == WORD]
-        inputs.append(table[slots_of(context(before, order), spread, m)].astype(np.float32))
+        before, present, pair = found[order == WORD]
+        inputs.append(table[slots_of(context(before, order), SPREAD[present], m)].astype(np.float32) * SIGNS[present])
         pairs.append(pair)
     return inputs, pairs
 
 
-def code_lengths(model: np.ndarray, data: np.ndarray, offsets: np.ndarray, m: Mixing) -> np.ndarray:
-    """Natural-log code length of every text."""
-    buffer, starts, sizes = laid_out(data, offsets)
-    pieces = -(-sizes // m.segment)
-    text = np.repeat(np.arange(len(sizes)), pieces)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = starts[text] + number * m.segment
-    length = np.minimum(sizes[text] - number * m.segment, m.segment)
-    by = np.argsort(-length, kind="stable")
-    begin, length = begin[by], length[by]
-    # how many stretches are longer than each step
-    active = np.searchsorted(-length, -np.arange(m.segment), "left")
+def code_lengths(
+    inputs: list[np.ndarray], pairs: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray, m: Mixing
+) -> np.ndarray:
+    """Natural-log code length of every text; the weights of a text are carried from its first byte to its last."""
+    by = np.argsort(-sizes, kind="stable")
+    begin, length = starts[by], sizes[by]
+    steps = int(length[0]) if len(length) else 0
+    # how many texts are longer than each step
+    active = np.searchsorted(-length, -np.arange(steps), "left")
     total = np.zeros(len(by))
-    inputs, pairs = pair_inputs(model, buffer, m)
     weights = [np.full((len(by), 8), m.weight, np.float32) for _ in inputs]
-    product = np.empty((len(by), 8), np.float32)
-    for t in range(m.segment):
+    product, odds = np.empty((len(by), 8), np.float32), np.empty((len(by), 8), np.float32)
+    for t in range(steps):
         n = active[t]
-        if not n:
-            break
         place = begin[:n] + t
-        sign, spare = SIGNS[buffer[place]], product[:n]
+        spare, dot = product[:n], odds[:n]
+        # log-odds of the bit that comes
         xs = [x.take(pair[place], axis=0) for x, pair in zip(inputs, pairs)]
-        dot = xs[0] * weights[0][:n]
+        np.multiply(xs[0], weights[0][:n], out=dot)
         for x, w in zip(xs[1:], weights[1:]):
             np.multiply(x, w[:n], out=spare)
             dot += spare
-        dot *= sign
         np.clip(dot, -12, 12, out=dot)
         np.negative(dot, out=dot)
         np.exp(dot, out=dot)
-        np.log1p(dot, out=spare)
-        total[:n] += spare.sum(1)
         np.add(dot, 1, out=spare)
         dot /= spare
-        sign *= m.rate
-        dot *= sign
+        dot *= m.rate
+        np.log(spare, out=spare)
+        total[:n] += spare.sum(1)
         for x, w in zip(xs, weights):
-            np.multiply(x, dot, out=spare)
-            w[:n] += spare
-    return np.bincount(text[by], weights=total, minlength=len(sizes))
+            x *= dot
+            w[:n] += x
+    out = np.empty(len(by))
+    out[by] = total
+    return out
 
 
 def scored(docs: DataFrame, model: np.ndarray, words: np.ndarray, counts: np.ndarray, m: Mixing) -> DataFrame:
-    """(row, doc_id, held_out, score, n_words, known, logs, rare): what a row's text alone and the frequent words give.
+    """(row, doc_id, held_out, score, bits_per_byte, n_words, known, logs, rare): what a row's text alone and the frequent words give.
 
     ``logs`` sums log10(count + 1) over the frequent words, ``rare`` lists the others' hashes.
     """
@@ -266,6 +260,8 @@ def scored(docs: DataFrame, model: np.ndarray, words: np.ndarray, counts: np.nda
         data, offsets = buffer_of(batch.column(2))
         hashes, n_words = word_counts(data, offsets)
         text = np.repeat(np.arange(len(n_words)), n_words)
+        buffer, starts, sizes = laid_out(data, offsets)
+        lengths = code_lengths(*pair_inputs(table, buffer, m), starts, sizes, m)
         at = np.minimum(np.searchsorted(names, hashes), max(len(names) - 1, 0))
         hot = names[at] == hashes if len(names) else np.zeros(len(hashes), bool)
         logs = np.bincount(text[hot], weights=np.log10(times[at[hot]] + 1.0), minlength=len(n_words))
@@ -273,13 +269,13 @@ def scored(docs: DataFrame, model: np.ndarray, words: np.ndarray, counts: np.nda
         cuts = np.concatenate([[0], np.cumsum(np.bincount(text[~hot], minlength=len(n_words)))])
         return {
             "row": batch.column(0), "doc_id": batch.column(1), "held_out": batch.column(3),
-            "score": -code_lengths(table, data, offsets, m) / np.log(10),
+            "score": -lengths / np.log(10), "bits_per_byte": lengths / np.log(2) / sizes,
             "n_words": n_words, "known": np.bincount(text[hot], minlength=len(n_words)), "logs": logs,
             "rare": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare)),
         }
 
     schema = (
-        "row long, doc_id long, held_out boolean, score double, n_words long, known long, logs double, rare array<long>"
+        "row long, doc_id long, held_out boolean, score double, bits_per_byte double, n_words long, known long, logs double, rare array<long>"
     )
     return per_batch(docs, "text", score, schema, most=1 << 20)
 
@@ -289,7 +285,8 @@ def language_model_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, m:
 
     Learns from the rows outside fold ``held_out``.  Null texts are empty: their
     only token, and their only coded byte, is the end.  Words are compared by a
-    64-bit hash.  Rows that repeat are scored each and counted each; an empty
+    64-bit hash.  ``score`` is the base-10 logarithm of the text's probability,
+    ``bits_per_byte`` the whole code length over the coded bytes.  Rows that repeat are scored each and counted each; an empty
     table gives an empty result.
     """
     rows = checked(docs, "doc_id", "text").select(
@@ -327,5 +324,5 @@ def language_model_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, m:
         "doc_id", "held_out", tokens.alias("n_tokens"),
         (F.col("known") + F.coalesce("more", F.lit(0)) + end).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (logs - tokens * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"), "score",
+        (logs - tokens * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"), "score", "bits_per_byte",
     )

@@ -221,3 +221,33 @@ def test_one_text_of_most_rows_is_divided_by_id(spark):
     got = histogram_sort.shard_documents(spark.createDataFrame(made, "doc_id long, text string")).collect()
     check_shards(got, 8, 0.002)
     assert len({r.shard for r in got if r.size == 9}) > 4
+
+
+def test_mixing_codes_a_text_as_one_and_knows_short_contexts():
+    import numpy as np
+
+    m = context_mixing.Mixing()
+    assert set(m.orders) == {1, 2, 3, 4, context_mixing.WORD}
+    rng = np.random.default_rng(3)
+    sizes = np.array([700, 3000, 1, 2500])
+    inputs = [rng.normal(0, 2, (50, 8)).astype(np.float32) for _ in range(2)]
+    pairs = [rng.integers(0, 50, sizes.sum()) for _ in range(2)]
+    starts = np.cumsum(sizes) - sizes
+    want = []
+    for begin, size in zip(starts, sizes):
+        weights, bits = np.full((2, 8), m.weight), 0.0
+        for t in range(begin, begin + size):
+            x = np.array([a[p[t]] for a, p in zip(inputs, pairs)], float)
+            odds = np.clip((x * weights).sum(0), -12, 12)
+            bits += np.log1p(np.exp(-odds)).sum()
+            weights += m.rate * x / (1 + np.exp(odds))
+        want.append(bits)
+    assert np.allclose(context_mixing.code_lengths(inputs, pairs, starts, sizes, m), want, rtol=1e-3)
+
+
+def test_bits_per_byte_are_the_whole_code_length(messy):
+    got = context_mixing.language_model_scores(messy).collect()
+    sizes = {r.doc_id: len((r.text or "").encode()) + 1 for r in messy.collect()}
+    for r in got:
+        if r.doc_id is not None:
+            assert math.isclose(r.bits_per_byte * sizes[r.doc_id], -r.score * math.log2(10), rel_tol=1e-9)
