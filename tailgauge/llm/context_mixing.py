@@ -1,12 +1,18 @@
 """Language-model scoring by online logistic context mixing.
 
-Texts are coded bit by bit.  Several predictors each look up a probability by a
-hash of their context and of the bits of the present byte so far.  Contexts are the
-last bytes, up to four, and the word so far; the tables hold how often a zero or a one followed, counted over all training
-texts.  A mixer adds the predictors' log-odds with weights that a gate, the bit's
-place in its byte, selects, and after each bit moves the weights of that gate
-towards what came.  The tables are frozen; the weights start equal and adapt from
-the first byte of a text to its last.  Texts of a batch are coded side by side.
+Texts are coded bit by bit.  Several predictors each look up how often a zero or a
+one followed their context and the bits of the present byte so far.  Contexts are
+the last bytes, up to four, and the word so far, as 64-bit keys.  A mixer adds the
+predictors' log-odds with weights that a gate, the bit's place in its byte, selects,
+and after each bit moves the weights of that gate towards what came.  The counts are
+frozen; the weights start equal and adapt from the first byte of a text to its last.
+Texts of a batch are coded side by side.
+
+The counts are a table of (predictor, context, byte), which grows with the corpus:
+the bytes that followed a context give the counts of all nodes, that is, of the bits
+of a byte so far.  Each batch of texts asks for its different contexts, a join
+answers them, and the answers meet the batch's texts, so that no process holds
+the model.
 
 The count of the words of all texts, which the base score needs, travels with the
 same aggregation.  Frequent words, at most ``frequent`` of them, are looked up
@@ -24,24 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .columns import buffer_of, checked, per_batch, remainder, ship, slices
+from .columns import buffer_of, checked, remainder, ship, slices
 from .words import BASE, INVERSE, LOWER, SPACE, mixed, powers, span_hashes, word_spans
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
-#: The bits of a byte so far, with a leading one, for each of its eight places.
-NODES = np.array([[(1 << k) | (b >> (8 - k)) for k in range(8)] for b in range(256)], np.uint32)
-SPREAD = NODES * np.uint32(0x9E3779B1)
 SIGNS = (BITS.astype(np.float32) * 2 - 1)
 #: The order of the predictor that sees the present word so far, ASCII letters lower-cased.
 WORD = 0
-MULTIPLIERS = (0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)
+#: Positions of a batch that a packed sort numbers.
+PLACES = 24
 
 
 @dataclass(frozen=True)
 class Mixing:
     """``orders``: bytes of each predictor's context, at most four, or the word so far; the mixer adds them up.
 
-    ``slot_bits``: log2 of each predictor's table, which bounds the model whatever the corpus.
+    ``slot_bits`` is accepted for older callers and bounds nothing.  ``batch``: bytes of the texts that are coded side
+    by side and ask for their contexts at once; a longer text is a batch of its own.
     """
 
     orders: tuple[int, ...] = (1, 2, 3, 4, WORD)
@@ -50,32 +55,24 @@ class Mixing:
     rate: float = 0.02
     weight: float = 0.2
     frequent: int = 1 << 17
+    batch: int = 8 << 20
 
-    @property
-    def slots(self) -> int:
-        return 1 << self.slot_bits
 
-
-def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with four zero bytes before and one, the end, behind; start and coded length of each."""
+def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with four zero bytes before and one, the end, behind; which bytes are coded."""
     sizes = np.diff(offsets)
     n = len(sizes)
-    starts = offsets[:-1] + 5 * np.arange(n) + 4
-    buffer = np.zeros(len(data) + 5 * n + 4, np.uint8)
-    buffer[np.arange(len(data)) + 5 * np.repeat(np.arange(n), sizes) + 4] = data
-    return buffer, starts, sizes + 1
-
-
-def before_of(buffer: np.ndarray) -> np.ndarray:
-    """The four bytes before each position, the nearest one lowest."""
-    value = np.zeros(len(buffer), np.uint32)
-    for k in range(1, 5):
-        value[k:] |= buffer[:-k].astype(np.uint32) << np.uint32(8 * (k - 1))
-    return value
+    buffer, coded = np.zeros(len(data) + 5 * n, np.uint8), np.ones(len(data) + 5 * n, bool)
+    starts = offsets[:-1] + 5 * np.arange(n)
+    coded[(starts[:, None] + np.arange(4)).ravel()] = False
+    inside = coded.copy()
+    inside[offsets[1:] + 5 * np.arange(n) + 4] = False
+    buffer[inside] = data
+    return buffer, coded
 
 
 def word_so_far(buffer: np.ndarray) -> np.ndarray:
-    """A hash of the bytes between the last white space and each position."""
+    """A 64-bit hash of the bytes between the last white space and each position."""
     n = len(buffer)
     values = LOWER[buffer].astype(np.uint64) + np.uint64(1)
     sums = np.zeros(n + 1, np.uint64)
@@ -83,65 +80,78 @@ def word_so_far(buffer: np.ndarray) -> np.ndarray:
     begin = np.zeros(n, np.int64)
     begin[1:] = np.where(SPACE[buffer[:-1]] | (buffer[:-1] == 0), np.arange(1, n), 0)
     np.maximum.accumulate(begin, out=begin)
-    return (mixed((sums[:-1] - sums[begin]) * powers(INVERSE, n)[begin]) >> np.uint64(32)).astype(np.uint32)
-
+    return mixed((sums[:-1] - sums[begin]) * powers(INVERSE, n)[begin])
 
-def contexts_of(buffer: np.ndarray, m: Mixing) -> dict[bool, np.ndarray]:
-    """What precedes each position, for the byte contexts (False) and the word context (True) as far as used."""
-    out = {}
-    if any(order != WORD for order in m.orders):
-        out[False] = before_of(buffer)
-    if WORD in m.orders:
-        out[True] = word_so_far(buffer)
-    return out
 
+def grouped(values: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions sorted by value, and where a new value begins; the low ``spare`` bits of the values are zero or may be left out.
 
-def context(before: np.ndarray, order: int) -> np.ndarray:
-    """A hash of the context of a predictor, from the four bytes before or the word so far."""
-    if order == WORD:
-        return before
-    value = before & np.uint32((1 << (8 * order)) - 1)
-    value = value * np.uint32(MULTIPLIERS[order - 1])
-    return value ^ (value >> np.uint32(15))
+    Where they are left out, a value may, rarely, begin more than once.
+    """
+    n = len(values)
+    if n >> min(spare, PLACES):
+        at = np.argsort(values, kind="stable")
+    else:
+        low = np.uint64((1 << PLACES) - 1)
+        packed = (values & ~low) | np.arange(n, dtype=np.uint64)
+        packed.sort()
+        packed &= low
+        at = packed.astype(np.int32)
+    ordered = values[at]
+    return at, np.concatenate([[True], ordered[1:] != ordered[:-1]])
 
 
-def equal_pairs(before: np.ndarray, buffer: np.ndarray, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs of context and byte, how often each is coded, and each position's pair."""
-    n = len(buffer)
-    bits = max(1, int(n - 1).bit_length())
-    pairs = (before.astype(np.uint64) << np.uint64(8)) | buffer
-    if bits <= 24:  # pair and position fit one word, and words are sorted fast
-        packed = np.sort((pairs << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
-        ordered, at = packed >> np.uint64(bits), (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
-    else:
-        at = np.argsort(pairs, kind="stable")
-        ordered = pairs[at]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    pair = np.empty(n, np.int64)
-    pair[at] = np.cumsum(first) - 1
-    different = ordered[first]
-    return different, np.bincount(pair, weights=coded, minlength=len(different)), pair
+def different_pairs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A position of each different value, how often it comes, and each position's number of the value."""
+    at, first = grouped(values, PLACES)
+    number = np.empty(len(values), np.int32)
+    number[at] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    begin = np.flatnonzero(first)
+    return at[begin], np.diff(begin, append=len(values)), number
 
 
-def add_bits(totals: np.ndarray, data: np.ndarray, offsets: np.ndarray, m: Mixing) -> None:
-    """Add the bits of all texts to (predictor, slot, bit).
+@dataclass(frozen=True)
+class Pairs:
+    """The different pairs of context and coded byte of one predictor, how often each comes, and the ``place`` of each coded byte's pair."""
 
-    Equal pairs of context and byte are counted first, so that the bits of each are spread once.
-    """
-    buffer, starts, sizes = laid_out(data, offsets)
-    coded = np.ones(len(buffer), bool)
-    coded[(np.concatenate([starts, [len(buffer)]])[:, None] - np.arange(1, 5)).ravel()] = False
-    counted = {kind: equal_pairs(before, buffer, coded)[:2] for kind, before in contexts_of(buffer, m).items()}
-    for k, order in enumerate(m.orders):
-        pairs, times = counted[order == WORD]
-        present = (pairs & np.uint64(255)).astype(np.int64)
-        at = slots_of(context((pairs >> np.uint64(8)).astype(np.uint32), order), SPREAD[present], m).astype(np.int64)
-        np.add.at(totals[k].reshape(-1), (at * 2 + BITS[present]).ravel(), np.repeat(times, 8).astype(totals.dtype))
+    context: np.ndarray
+    byte: np.ndarray
+    times: np.ndarray
+    place: np.ndarray
 
 
-def slots_of(hashed: np.ndarray, spread: np.ndarray, m: Mixing) -> np.ndarray:
-    value = (hashed[..., None] ^ spread) * np.uint32(0x2C1B3C6D)
-    return value >> np.uint32(32 - m.slot_bits)
+def pairs_of(data: np.ndarray, offsets: np.ndarray, m: Mixing) -> list[Pairs]:
+    """One for each predictor; byte predictors share their places, those of the longest context."""
+    buffer, coded = laid_out(data, offsets)
+    out: dict[int, Pairs] = {}
+    if any(order != WORD for order in m.orders):
+        # the coded byte, then those before it, the nearest one first
+        values = buffer.astype(np.uint64) << np.uint64(56)
+        for k in range(1, 5):
+            values[k:] |= buffer[:-k].astype(np.uint64) << np.uint64(56 - 8 * k)
+        values = values[coded]
+        some, times, place = different_pairs(values)
+        seen = values[some]
+        del values
+        byte = (seen >> np.uint64(56)).astype(np.int64)
+        before = (seen >> np.uint64(24)) & np.uint64(0xFFFFFFFF)
+        for order in m.orders:
+            if order != WORD:
+                out[order] = Pairs((before >> np.uint64(8 * (4 - order))).view(np.int64), byte, times, place)
+    if WORD in m.orders:
+        hashes = np.empty(int(coded.sum()), np.uint64)
+        # words end with their text, so about 1 MB of texts at a time
+        ends = offsets[1:] + np.arange(1, len(offsets))
+        start = text = 0
+        while text < len(ends):
+            stop = max(text + 1, int(np.searchsorted(ends, start + (1 << 20), "right")))
+            span = slice(int(offsets[text]) + 5 * text, int(offsets[stop]) + 5 * stop)
+            hashes[start : ends[stop - 1]] = word_so_far(buffer[span])[coded[span]]
+            start, text = int(ends[stop - 1]), stop
+        present = buffer[coded]
+        some, times, place = different_pairs(mixed(hashes + present * BASE))
+        out[WORD] = Pairs(hashes[some].view(np.int64), present[some].astype(np.int64), times, place)
+    return [out[order] for order in m.orders]
 
 
 def word_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,64 +160,75 @@ def word_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(data, starts, ends).view(np.int64), counts
 
 
-def gather(training: DataFrame, m: Mixing) -> DataFrame:
-    """(kind, key, zeros, ones): bit counts by predictor and slot, and in kind 0 the words' counts."""
+def arrow_of(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL("kind int, key long, zeros long, ones long")
-    arrow = to_arrow_schema(schema)
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def gather(training: DataFrame, m: Mixing) -> DataFrame:
+    """(kind, key, byte, n): how often a byte followed a context, by predictor, and in kind 0 the words' counts."""
+    schema = "kind int, key long, byte int, n long"
+    arrow = arrow_of(schema)
 
-    def rows(kind: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> pa.RecordBatch:
-        columns = [np.full(len(key), kind, np.int32), key.astype(np.int64), zeros.astype(np.int64), ones.astype(np.int64)]
+    def rows(kind: int, key: np.ndarray, byte: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        columns = [np.full(len(key), kind, np.int32), key, byte.astype(np.int32), n.astype(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=arrow)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(m.orders), m.slots, 2), np.uint32)
-        for batch in slices(batches, "text", 1 << 20):
-            data, offsets = buffer_of(batch.column(0))
-            words, counts = np.unique(word_counts(data, offsets)[0], return_counts=True)
-            yield rows(0, words, counts, np.zeros_like(counts))
-            add_bits(totals, data, offsets, m)
-        for k in range(len(m.orders)):
-            pairs = totals[k]
-            used = np.flatnonzero(pairs.any(1))
-            for part in np.array_split(used, -(-len(used) // (1 << 16)) or 1):
-                yield rows(k + 1, part, pairs[part, 0], pairs[part, 1])
+        for batch in slices(batches, "text", m.batch):
+            for part in slices(iter([batch]), "text", 1 << 20):
+                words, counts = np.unique(word_counts(*buffer_of(part.column(0)))[0], return_counts=True)
+                yield rows(0, words, np.zeros_like(words), counts)
+            for k, pairs in enumerate(pairs_of(*buffer_of(batch.column(0)), m)):
+                # pairs of a shorter context are runs
+                first = np.concatenate([[True], (np.diff(pairs.context) != 0) | (np.diff(pairs.byte) != 0)])
+                begin = np.flatnonzero(first)
+                for part in np.array_split(np.arange(len(begin)), -(-len(begin) // (1 << 16)) or 1):
+                    if len(part):
+                        times = np.add.reduceat(pairs.times[: begin[part[-1] + 1] if part[-1] + 1 < len(begin) else None], begin[part])
+                        yield rows(k + 1, pairs.context[begin[part]], pairs.byte[begin[part]], times)
 
     ship(training.sparkSession)
-    # a task's tables are sent once, so a few tasks for each core suffice
-    tasks = 2 * training.sparkSession.sparkContext.defaultParallelism
-    counted = checked(training, "text").coalesce(tasks).mapInArrow(count, schema)
-    return counted.groupBy("kind", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    counted = checked(training, "text").mapInArrow(count, schema)
+    return counted.groupBy("kind", "key", "byte").agg(F.sum("n").alias("n"))
 
 
-def log_odds(counts: DataFrame, m: Mixing) -> np.ndarray:
-    """(predictor, slot) log-odds of a one; 0 where nothing was seen.
-
-    At most the slots of the tables reach the driver.
-    """
-    odds = F.log((F.col("ones") + m.smoothing) / (F.col("zeros") + m.smoothing)).cast("float")
-    got = counts.select((F.col("kind") - 1).alias("kind"), F.col("key").cast("int").alias("key"), odds.alias("odds")).toArrow()
-    out = np.zeros((len(m.orders), m.slots), np.float16)
-    out[got.column("kind").to_numpy(), got.column("key").to_numpy()] = got.column("odds").to_numpy()
-    return out
-
-
-def pair_inputs(model: np.ndarray, buffer: np.ndarray, m: Mixing) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each predictor the log-odds of the coming bit (pair, place in the byte) of the different pairs, and each position's pair."""
-    found = {}
-    nothing = np.zeros(len(buffer), bool)
-    for kind, before in contexts_of(buffer, m).items():
-        different, _, pair = equal_pairs(before, buffer, nothing)
-        present = (different & np.uint64(255)).astype(np.int64)
-        found[kind] = (different >> np.uint64(8)).astype(np.uint32), present, pair
-    inputs, pairs = [], []
-    for table, order in zip(model, m.orders):
-        before, present, pair = found[order == WORD]
-        inputs.append(table[slots_of(context(before, order), SPREAD[present], m)].astype(np.float32) * SIGNS[present])
-        pairs.append(pair)
-    return inputs, pairs
+@dataclass(frozen=True)
+class Followers:
+    """The bytes that followed each context of a batch, numbered, as sums of their counts in the order of ``key``."""
+
+    key: np.ndarray
+    sums: np.ndarray
+
+    @classmethod
+    def of(cls, number: np.ndarray, lists: np.ndarray, ends: np.ndarray) -> Followers:
+        """From the answers: numbers of contexts, and lists of ``256 * n + byte`` between ``ends``."""
+        key = np.repeat(number.astype(np.int64) << 8, np.diff(ends)) | (lists & 255)
+        by = np.argsort(key)
+        return cls(key[by], np.concatenate([[0], np.cumsum(lists[by] >> 8)]))
+
+    def odds(self, number: np.ndarray, byte: np.ndarray, m: Mixing) -> np.ndarray:
+        """(pair, place in the byte): log-odds of the bit that the byte has there; 0 where nothing was seen."""
+        at = lambda x: self.sums[np.searchsorted(self.key, x)]
+        base = number.astype(np.int64) << 8
+        low, high = at(base), at(base + 256)
+        first = base.copy()
+        out = np.empty((len(number), 8), np.float32)
+        for k in range(8):
+            half = 128 >> k
+            middle = at(first + half)
+            out[:, k] = np.log((high - middle + m.smoothing) / (middle - low + m.smoothing))
+            one = (byte & half) > 0
+            first += np.where(one, half, 0)
+            low, high = np.where(one, middle, low), np.where(one, high, middle)
+        return out * SIGNS[byte]
+
+
+def asked(pairs: list[Pairs]) -> list[np.ndarray]:
+    """The different contexts of each predictor, in order."""
+    return [np.unique(p.context) for p in pairs]
 
 
 def code_lengths(
@@ -248,36 +269,84 @@ def code_lengths(
     return out
 
 
-def scored(docs: DataFrame, model: np.ndarray, words: np.ndarray, counts: np.ndarray, m: Mixing) -> DataFrame:
-    """(row, doc_id, held_out, score, bits_per_byte, n_words, known, logs, rare): what a row's text alone and the frequent words give.
+OWN = "batch long, row long, doc_id long, held_out boolean, n_words long, known long, logs double, rare array<long>"
+ASKED = "contexts array<struct<kind: int, key: long>>"
+
+
+def batched(docs: DataFrame, words: np.ndarray, counts: np.ndarray, m: Mixing) -> DataFrame:
+    """(batch, row, doc_id, held_out, n_words, known, logs, rare, text, contexts) of every row.
 
-    ``logs`` sums log10(count + 1) over the frequent words, ``rare`` lists the others' hashes.
+    ``logs`` sums log10(count + 1) over the frequent words, ``rare`` lists the others' hashes.  The first row of a
+    batch has the contexts that its texts ask for.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model, words, counts))  # bounded by slot_bits and frequent
+    schema = f"{OWN}, text string, {ASKED}"
+    arrow = arrow_of(schema)
+    shared = docs.sparkSession.sparkContext.broadcast((words, counts))  # bounded by frequent
 
-    def score(batch: pa.RecordBatch) -> dict:
-        table, names, times = shared.value
-        data, offsets = buffer_of(batch.column(2))
+    def known(data: np.ndarray, offsets: np.ndarray) -> list:
+        names, times = shared.value
         hashes, n_words = word_counts(data, offsets)
         text = np.repeat(np.arange(len(n_words)), n_words)
-        buffer, starts, sizes = laid_out(data, offsets)
-        lengths = code_lengths(*pair_inputs(table, buffer, m), starts, sizes, m)
         at = np.minimum(np.searchsorted(names, hashes), max(len(names) - 1, 0))
         hot = names[at] == hashes if len(names) else np.zeros(len(hashes), bool)
         logs = np.bincount(text[hot], weights=np.log10(times[at[hot]] + 1.0), minlength=len(n_words))
-        rare = hashes[~hot]
         cuts = np.concatenate([[0], np.cumsum(np.bincount(text[~hot], minlength=len(n_words)))])
-        return {
-            "row": batch.column(0), "doc_id": batch.column(1), "held_out": batch.column(3),
-            "score": -lengths / np.log(10), "bits_per_byte": lengths / np.log(2) / sizes,
-            "n_words": n_words, "known": np.bincount(text[hot], minlength=len(n_words)), "logs": logs,
-            "rare": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare)),
-        }
-
-    schema = (
-        "row long, doc_id long, held_out boolean, score double, bits_per_byte double, n_words long, known long, logs double, rare array<long>"
+        rare = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes[~hot]))
+        return [pa.array(n_words), pa.array(np.bincount(text[hot], minlength=len(n_words))), pa.array(logs), rare]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        for batch in slices(batches, "text", m.batch):
+            found = asked(pairs_of(*buffer_of(batch.column(2)), m))
+            kinds = np.repeat(np.arange(1, len(found) + 1, dtype=np.int32), [len(x) for x in found])
+            both = pa.StructArray.from_arrays([pa.array(kinds), pa.array(np.concatenate(found))], ["kind", "key"])
+            for part in slices(iter([batch]), "text", 1 << 20):
+                n = part.num_rows
+                row, doc_id, text, held_out = part.columns
+                lists = pa.ListArray.from_arrays(pa.array([0] + [len(both)] * n, pa.int32()), both)
+                columns = [pa.array(np.full(n, number)), row, doc_id, held_out, *known(*buffer_of(text)), text, lists]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
+                both = both.slice(0, 0)
+            number += 1
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(split, schema)
+
+
+def scored(batches: DataFrame, counts: DataFrame, m: Mixing) -> DataFrame:
+    """The own columns of every row of :func:`batched`, score and bits_per_byte."""
+    schema = f"{OWN}, score double, bits_per_byte double"
+    arrow = arrow_of(schema)
+    wanted = batches.where("size(contexts) > 0").select(
+        F.col("batch").alias("asker"), F.posexplode("contexts").alias("number", "one")
     )
-    return per_batch(docs, "text", score, schema, most=1 << 20)
+    wanted = wanted.select("asker", "number", "one.kind", "one.key")
+    model = counts.groupBy("kind", "key").agg(F.collect_list(F.col("n") * 256 + F.col("byte")).alias("bytes"))
+    answers = wanted.join(model, ["kind", "key"]).select("asker", "number", "bytes")
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        data, offsets = buffer_of(texts.column("text"))
+        sizes = np.diff(offsets) + 1
+        lists = pa.concat_arrays(answers.column("bytes").chunks) if answers.num_rows else pa.array([], pa.list_(pa.int64()))
+        ends = lists.offsets.to_numpy()
+        followers = Followers.of(
+            answers.column("number").to_numpy(), lists.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
+        )
+        inputs, places, before = [], [], 0
+        for p in pairs_of(data, offsets, m):
+            contexts, number = np.unique(p.context, return_inverse=True)
+            inputs.append(followers.odds(number + before, p.byte, m))
+            places.append(p.place)
+            before += len(contexts)
+        lengths = code_lengths(inputs, places, offsets[:-1] + np.arange(len(sizes)), sizes, m)
+        own = [texts.column(f.name) for f in arrow if f.name in texts.column_names]
+        found = [*own, pa.array(-lengths / np.log(10)), pa.array(lengths / np.log(2) / sizes)]
+        return pa.Table.from_arrays(found, schema=arrow)
+
+    texts = batches.drop("contexts").groupBy("batch")
+    return texts.cogroup(answers.groupBy("asker")).applyInArrow(score, schema)
 
 
 def language_model_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, m: Mixing = Mixing()) -> DataFrame:
@@ -294,21 +363,16 @@ def language_model_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, m:
     )
     training = rows.where("NOT held_out")
     counted = materialize(gather(training, m), "mixing-counts")
-    model = log_odds(counted.where("kind > 0"), m)
-    vocabulary = counted.where("kind = 0").select(F.col("key").alias("word"), F.col("zeros").alias("n"))
+    vocabulary = counted.where("kind = 0").select(F.col("key").alias("word"), "n")
     texts = training.count()
     distinct, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = distinct + (texts > 0), total + texts
     frequent = vocabulary.orderBy(F.desc("n"), "word").limit(m.frequent).toArrow()
     words, times = frequent.column("word").to_numpy(), frequent.column("n").to_numpy()
     order = np.argsort(words)
-    parts = materialize(
-        scored(
-            rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out"),
-            model, words[order], times[order], m,
-        ),
-        "mixing-scores",
-    )
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
+    batches = materialize(batched(numbered, words[order], times[order], m), "mixing-batches")
+    parts = materialize(scored(batches, counted.where("kind > 0"), m), "mixing-scores")
     rare = parts.select("row", F.explode("rare").alias("word"))
     if distinct > m.frequent:
         found = rare.join(vocabulary, "word").groupBy("row").agg(

@@ -251,3 +251,49 @@ def test_bits_per_byte_are_the_whole_code_length(messy):
     for r in got:
         if r.doc_id is not None:
             assert math.isclose(r.bits_per_byte * sizes[r.doc_id], -r.score * math.log2(10), rel_tol=1e-9)
+
+
+def test_counts_of_contexts_are_whole_and_grow_with_the_texts(spark):
+    import random
+
+    m = context_mixing.Mixing(orders=(2, 4, context_mixing.WORD), slot_bits=4)
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.randrange(97, 123)) for _ in range(300)) + f" Aé {i}" for i in range(60)]
+    got = context_mixing.gather(spark.createDataFrame([(x,) for x in texts], "text string"), m).where("kind > 0")
+    want = {1: Counter(), 2: Counter()}
+    for x in texts:
+        coded = b"\0" * 4 + x.encode() + b"\0"
+        for i in range(4, len(coded)):
+            for kind, order in ((1, 2), (2, 4)):
+                want[kind][int.from_bytes(coded[i - order : i][::-1]), coded[i]] += 1
+    found = got.collect()
+    for kind in want:
+        assert Counter({(r.key, r.byte): r.n for r in found if r.kind == kind}) == want[kind]
+    assert len(want[2]) > 1 << 12
+    words = Counter((ascii_lower(x[: i]).split(" ")[-1], c) for y in texts for x in [y] for i, c in enumerate(x + "\0") if ord(c) < 128 and "é" not in x[:i])
+    assert sum(r.n for r in found if r.kind == 3) == sum(want[1].values()) and len({r.key for r in found if r.kind == 3}) >= len({w for w, _ in words})
+
+
+def test_followers_give_the_odds_of_every_node():
+    import numpy as np
+
+    m = context_mixing.Mixing()
+    counts = {5: {97: 3, 98: 1, 0: 2}, 0: {255: 4}}
+    lists = np.array([n * 256 + b for x in counts.values() for b, n in x.items()])
+    followers = context_mixing.Followers.of(np.array(list(counts)), lists, np.array([0, 3, 4]))
+    number, byte = np.array([5, 5, 0, 7]), np.array([97, 200, 255, 97])
+    got = followers.odds(number, byte, m)
+    for i, (a, b) in enumerate(zip(number, byte)):
+        for k in range(8):
+            same = [n for c, n in counts.get(a, {}).items() if c >> (8 - k) == b >> (8 - k) and (c ^ b) >> (7 - k) == 0]
+            other = [n for c, n in counts.get(a, {}).items() if (c ^ b) >> (7 - k) == 1]
+            assert math.isclose(got[i, k], math.log((sum(same) + m.smoothing) / (sum(other) + m.smoothing)), abs_tol=1e-5)
+
+
+def test_scores_do_not_depend_on_the_batches(messy):
+    one, many = (
+        sorted((str(r.doc_id), r.score) for r in context_mixing.language_model_scores(messy, m=context_mixing.Mixing(batch=x)).collect())
+        for x in (8 << 20, 500)
+    )
+    assert [x[0] for x in one] == [x[0] for x in many]
+    assert all(math.isclose(a[1], b[1], rel_tol=1e-5) for a, b in zip(one, many))
