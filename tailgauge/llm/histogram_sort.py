@@ -7,7 +7,8 @@ then keeps for each splitter the cell that holds its target and cuts that cell
 again.  A boundary whose bytes below are within ``tolerance`` of a shard from the
 target is taken as it is.  First the checksum is refined, then, where one text's
 copies outweigh the tolerance, the ids.  Only the small table of keys and sizes is
-read in these rounds.  With the splitters known, the rows are exchanged once.
+read in these rounds.  With the splitters known, the documents with all their
+columns are exchanged once and written, one folder for each shard.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .columns import checked
 
 #: Cells into which a round cuts the cell that holds a target.
@@ -33,14 +34,24 @@ class Splitter:
     below: int
 
 
+#: What a row gets; columns of these names in the input are replaced.
+GIVEN = ("size", "text_crc32", "shard", "slot")
+
+
+def bytes_of(text: str) -> tuple[Column, Column]:
+    """Bytes with the end, and checksum of a text; null texts have no bytes."""
+    text = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+
+
+def order_id(doc_id: str) -> Column:
+    """The id by which copies are ordered; null ids come first."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id")
+
+
 def keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, id) of every row; null texts have no bytes, null ids come first."""
-    rows = checked(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select(
-        "doc_id", (F.octet_length("text") + 1).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id"),
-    )
+    """(size, text_crc32, id) of every row."""
+    return checked(docs, "doc_id", "text").select(*bytes_of("text"), order_id("doc_id"))
 
 
 def cell_bytes(table: DataFrame, cell: Column) -> dict[int, int]:
@@ -130,7 +141,7 @@ def shard_of(found: list[Splitter]) -> Column:
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row.
+    """All columns of every row, read from the folder of its shard, with size, text_crc32, shard and slot.
 
     Shards follow the key order and hold near-equal bytes; slots count from 0
     without gaps in key order inside a shard.  Copies of a text share a shard
@@ -138,15 +149,16 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.002)
     one text and id are ties: they stay in one shard, in any order.  An empty table
     gives an empty result.
     """
-    table = materialize(keys(docs), "shard-keys")
-    found = splitters(table, shards, tolerance)
-    dealt = table.withColumn("shard", shard_of(found))
+    spark = docs.sparkSession
+    found = splitters(materialize(keys(docs), "shard-keys"), shards, tolerance)
+    carried = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns if n not in GIVEN]).alias("doc"))
+    dealt = carried.select("doc", bytes_of("doc.text")[1], order_id("doc.doc_id")).withColumn("shard", shard_of(found))
     # one exchange by ranges of the whole key: a shard spans many tasks, and a text's copies are split by id
     ordered = dealt.repartitionByRange("shard", "text_crc32", "id").sortWithinPartitions("shard", "text_crc32", "id")
-    place = F.monotonically_increasing_id()
-    ordered = materialize(
-        ordered.withColumn("place", place).withColumn("part", F.shiftright("place", 33)), "shard-ordered"
-    )
+    ordered = ordered.select("doc", F.monotonically_increasing_id().alias("place"), "shard")
+    path = scratch_path(spark, "shards")
+    ordered.write.mode("errorifexists").partitionBy("shard").parquet(path)
+    ordered = spark.read.schema(ordered.schema).parquet(path).withColumn("part", F.shiftright("place", 33))
     runs = ordered.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = {}
     offsets = []
@@ -154,13 +166,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.002)
     for r in sorted(runs.collect(), key=lambda r: (r["shard"], r["part"])):
         offsets.append((r["shard"], r["part"], before.get(r["shard"], 0) - r["first"]))
         before[r["shard"]] = before.get(r["shard"], 0) + r["n"]
-    moved = docs.sparkSession.createDataFrame(offsets, "shard int, part long, shift long")
+    moved = spark.createDataFrame(offsets, "shard int, part long, shift long")
     placed = ordered.join(F.broadcast(moved), ["shard", "part"])
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("shift")).alias("slot"))
+    return placed.select("doc.*", *bytes_of("doc.text"), "shard", (F.col("place") + F.col("shift")).alias("slot"))
 
 
 def shard_report(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -> DataFrame:
+    """The digests of the sharded documents."""
     return shard_documents(docs, shards, tolerance).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.col("doc_id").cast("long").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

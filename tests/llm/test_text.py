@@ -297,3 +297,16 @@ def test_scores_do_not_depend_on_the_batches(messy):
     )
     assert [x[0] for x in one] == [x[0] for x in many]
     assert all(math.isclose(a[1], b[1], rel_tol=1e-5) for a, b in zip(one, many))
+
+
+def test_whole_documents_are_sharded(spark, messy, nothing):
+    got = histogram_sort.shard_documents(messy, 3)
+    assert set(messy.columns) <= set(got.columns)
+    assert Counter(map(tuple, got.select(messy.columns).collect())) == Counter(map(tuple, messy.collect()))
+    for r in got.collect():
+        assert r.size == len((r.text or "").encode()) + 1 and r.text_crc32 == zlib.crc32((r.text or "").encode())
+    folders = {f.rsplit("/", 2)[1] for f in got.inputFiles()}
+    assert {"shard=0", "shard=1", "shard=2"} <= folders
+    assert histogram_sort.shard_report(nothing).count() == 0
+    clash = messy.selectExpr("doc_id", "text", "1 AS shard", "'x' AS size", "2 AS place", "3 AS id")
+    check_shards(histogram_sort.shard_documents(clash, 3).collect(), 3, 0.002)
