@@ -166,3 +166,27 @@ def test_paragraphs_equal_brute_force(messy, rows, nothing):
     }
     assert paragraph_dedup.without_paragraphs(messy).columns == messy.columns
     assert paragraph_dedup.removal_report(nothing).count() == 0
+
+
+def test_paragraphs_with_repeated_phrases_are_compared_as_multisets(spark):
+    made, near, far = [], [], []
+    for i in range(20):
+        phrase = " ".join(f"w{i}x{k}" for k in range(5))
+        tails = [" ".join(f"t{i}{side}{k}" for k in range(10)) for side in "ab"]
+        a, b = (f"{phrase} " * 40 + tail for tail in tails)
+        assert jaccard(bag_of(a.split()), bag_of(b.split())) > 0.87
+        near.append(2 * i + 1)
+        made += [(2 * i, a), (2 * i + 1, b)]
+        phrase = " ".join(f"v{i}x{k}" for k in range(5))
+        far.append(1000 + 2 * i + 1)
+        made += [(1000 + 2 * i, (f"{phrase} " * 40).strip()), (1000 + 2 * i + 1, (f"{phrase} " * 20).strip())]
+    got = paragraph_dedup.removal_report(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got if r.n_removed) == near
+
+
+def test_occurrences_are_numbered_within_their_document():
+    document = np.array([0, 0, 0, 1, 1])
+    shingle = np.array([7, 8, 7, 7, 7], np.uint64)
+    got = paragraph_dedup.numbered(document, shingle)
+    assert sorted(got[[0, 2]].tolist()) == sorted(got[[3, 4]].tolist()) and len(set(got.tolist())) == 3
+    assert len(paragraph_dedup.numbered(document[:0], shingle[:0])) == 0
