@@ -43,4 +43,4 @@ def test_run_encodes_what_is_left(spark, sf_dir):
 
 def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "suffix_dedup", "decontaminate", "tokenize"]
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(SQL) <= set(QUERIES)
