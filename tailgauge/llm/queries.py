@@ -10,6 +10,7 @@ from . import (
     bagminhash,
     bpe_tree,
     context_mixing,
+    conversation_tree,
     fill_in_middle,
     histogram_sort,
     license_scan,
@@ -147,3 +148,62 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form != 'plain' THEN np E
   sha256(t) AS restored_sha256
 FROM p
 """
+
+
+@query
+def op13_euler_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_tree.prefix_tree(table(spark, sf_dir, "conversations")).drop("tour_position")
+
+
+# the table of the crc32 polynomial follows from the rule; DuckDB has no function for it
+SQL["op13_euler_tour"] = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS tab
+),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c0 AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+      lambda c, b: xor(any_value(tab)[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h
+  FROM t, crc GROUP BY conv_id
+),
+c1 AS (
+  SELECT a.conv_id, a.base, a.h, least(a.h, coalesce(b.n, 0)) AS taken,
+    least(a.h, coalesce(b.n, 0)) + greatest(a.n - a.h, 0) AS total
+  FROM c0 a LEFT JOIN c0 b ON b.conv_id = a.base
+),
+turns AS (
+  SELECT c1.conv_id, place + 1 AS depth, role, text FROM c1 JOIN t ON t.conv_id = c1.base WHERE place < h
+  UNION ALL
+  SELECT c1.conv_id, taken + place - h + 1, role, text FROM c1 JOIN t USING (conv_id) WHERE place >= h
+),
+m AS (
+  SELECT conv_id, depth, strlen(text) AS bytes,
+    sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k
+  FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c1
+),
+nodes AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM m GROUP BY k, depth),
+linked AS (
+  SELECT n.*, p.k AS parent FROM nodes n LEFT JOIN m p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+),
+kids AS (SELECT parent AS k, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT a.k, a.depth, count(*) FILTER (x.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+  FROM nodes n LEFT JOIN kids x USING (k, depth) JOIN m a ON a.conv_id = n.conv_id AND a.depth <= n.depth
+  GROUP BY ALL
+),
+ends AS (
+  SELECT m.k, m.depth, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest
+  FROM m JOIN c1 USING (conv_id) WHERE m.depth = total GROUP BY ALL
+)
+SELECT l.conv_id, l.depth, p.conv_id AS parent_conv_id, l.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM linked l JOIN sums USING (k, depth) LEFT JOIN kids USING (k, depth) LEFT JOIN ends USING (k, depth)
+LEFT JOIN nodes p ON p.k = l.parent AND p.depth = l.depth - 1
+"""
