@@ -13,6 +13,7 @@ from . import (
     conversation_tree,
     fill_in_middle,
     histogram_sort,
+    hnsw,
     license_scan,
     paragraph_dedup,
     ppm_language,
@@ -150,6 +151,31 @@ FROM p
 """
 
 
+@query
+def op12_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_hnsw_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+),
+fine AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x != 0)) > 0
+),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM fine a JOIN fine b ON a.label = b.label AND a.r != b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reach AS (SELECT r, r AS other FROM v UNION SELECT reach.r, b FROM reach JOIN links ON a = other),
+parts AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = other GROUP BY ALL),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY ALL)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN parts USING (r) LEFT JOIN counts USING (r)
+"""
+
+
 @query
 def op13_euler_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_tree.prefix_tree(table(spark, sf_dir, "conversations")).drop("tour_position")
