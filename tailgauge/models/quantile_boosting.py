@@ -1,29 +1,45 @@
-"""Quantile gradient boosting of many models in one distributed loop.
+"""Quantile gradient boosting of many models at once.
 
 A *task* is one model: a fold, a refit point, a candidate of a grid, a portfolio.
-All tasks grow their trees together: one table holds the rows of every task,
-and each step of the loop is an aggregation over (task, node, feature, bin).
-The number of Spark jobs depends on stages and depth, not on the number of tasks.
-
-Only counts per cell are shuffled, pre-aggregated on the map side; the rows
-themselves move once, at the start.  Splits, leaf values and the row state of a
-stage are written to the shared folder: every plan stays small, a lost executor
-costs at most one step, and the written trees are the model.
+Its training set is a range of positions in one series, and so are the rows it
+predicts.  The rows of a series are therefore kept once, however many overlapping
+training sets refer to them; nothing is copied per task.
+
+The rules of a model: start at the alpha-quantile of the training labels; at each
+stage grow a tree on the sign of the residuals (alpha above, alpha - 1 below) by
+exact search over all midpoints of neighbouring feature values, which are single
+precision; a node is split if it is not pure, both sides hold ``min_leaf`` rows and
+the weighted squared difference of the side means is largest (ties: first feature,
+lowest threshold); a leaf adds the alpha-quantile of its residuals (the least one
+that covers alpha of them) times the learning rate.  With ``subsample`` below 1 a
+hash of task, stage and row decides which rows a stage learns from, the same after
+a retry.
+
+Tasks of up to ``limit`` rows are grown whole, many at a time in each Spark task,
+on ranges of their series; larger ones grow in the distributed loop of
+:mod:`boosting_loop`.  Both follow the same rules and give the same trees.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.base import Estimator, Model
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import pinball, var_from_quantile
-from ..session import scratch_path, shared_dir
+from ..functions import var_from_quantile
+from ..operators.blocked import number_sessions
+from ..session import materialize
+from .boosting_kernel import grow
+from .boosting_loop import LargeModels
 
-MINIMUM_GAIN = 1e-12
+ROW_LIMIT = 200_000
+GROWN = "task string, kind string, stage int, node int, feature int, position long, value double, more double"
 
 
 @dataclass(frozen=True)
@@ -35,268 +51,303 @@ class Candidate:
     max_depth: int = 2
     min_leaf: int = 5
     features: tuple[str, ...] | None = None
+    subsample: float = 1.0
+    seed: int = 42
+
+    def __post_init__(self) -> None:
+        for name in ("stages", "max_depth", "min_leaf"):
+            value = getattr(self, name)
+            if isinstance(value, bool) or not isinstance(value, int) or value <= 0:
+                raise ValueError(f"{name} must be a positive whole number")
+        for name in ("learning_rate", "subsample"):
+            value = getattr(self, name)
+            if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value) or value <= 0:
+                raise ValueError(f"{name} must be a positive finite number")
+        if self.subsample > 1:
+            raise ValueError("subsample must not exceed 1")
+        if isinstance(self.seed, bool) or not isinstance(self.seed, int):
+            raise ValueError("seed must be a whole number")
+        if self.features is not None and (not self.features or len(set(self.features)) < len(self.features)):
+            raise ValueError("features must be distinct names")
+
+
+def require_alpha(alpha: float) -> float:
+    if isinstance(alpha, bool) or not isinstance(alpha, (int, float)) or not 0 < alpha < 1:
+        raise ValueError("alpha must be a number between 0 and 1")
+    return float(alpha)
 
 
 def candidate_column(candidate: Candidate, columns: Sequence[str]) -> Column:
     """The candidate as a struct literal, feature names turned into positions."""
-    chosen = columns if candidate.features is None else candidate.features
+    chosen = list(columns) if candidate.features is None else list(candidate.features)
+    unknown = [c for c in chosen if c not in columns]
+    if unknown:
+        raise ValueError(f"unknown features: {', '.join(unknown)}")
     return F.struct(
         F.lit(candidate.stages).alias("stages"),
-        F.lit(candidate.learning_rate).alias("learning_rate"),
+        F.lit(float(candidate.learning_rate)).alias("learning_rate"),
         F.lit(candidate.max_depth).alias("max_depth"),
         F.lit(candidate.min_leaf).alias("min_leaf"),
+        F.lit(float(candidate.subsample)).alias("subsample"),
+        F.lit(candidate.seed).cast("long").alias("seed"),
         F.array(*[F.lit(columns.index(c)) for c in chosen]).alias("used"),
     )
 
 
-def with_candidates(rows: DataFrame, grid: Mapping[str, Candidate], columns: Sequence[str]) -> DataFrame:
-    """Repeat the rows for every candidate of a grid (one explode) and name the tasks after both."""
+def with_candidates(tasks: DataFrame, grid: Mapping[str, Candidate], columns: Sequence[str]) -> DataFrame:
+    """Repeat the tasks for every candidate of a grid and name them after both; rows are not repeated."""
     options = F.array(
         *[F.struct(F.lit(n).alias("candidate"), candidate_column(c, columns).alias("config")) for n, c in grid.items()]
     )
-    return (
-        rows.select("*", F.inline(options))
-        .withColumn("task", F.concat_ws("/", "task", "candidate"))
+    return tasks.select("*", F.inline(options)).withColumn("task", F.concat_ws("/", "task", "candidate"))
+
+
+def feature_vector(columns: Sequence[str]) -> Column:
+    """The features in single precision."""
+    return F.array(*[F.col(f"`{c}`").cast("float") for c in columns])
+
+
+def not_finite(value: Column) -> Column:
+    """NULL, NaN or infinite, after rounding to single precision."""
+    single = value.cast("float")
+    return single.isNull() | F.isnan(single) | (F.abs(single) == F.lit(float("inf")))
+
+
+def model_rows(features: DataFrame, columns: Sequence[str], label: str = "actual_return", series: str = "series_id",
+               order: str = "target_date", keep: Sequence[str] = ()) -> DataFrame:
+    """series_id, position, label, x and the kept columns, written once; raises on values that are not finite."""
+    if not columns or len(set(columns)) < len(columns):
+        raise ValueError("feature columns must be distinct and not empty")
+    numbered = number_sessions(
+        features.withColumnRenamed(series, "series_id") if series != "series_id" else features, ("series_id",), order
     )
+    wrong = [not_finite(F.col(f"`{c}`")).cast("int") for c in (*columns, label)]
+    rows = materialize(
+        numbered.select(
+            "series_id", "position", F.col(label).cast("double").alias("label"), feature_vector(columns).alias("x"), *keep,
+            sum(wrong[1:], wrong[0]).alias("faults"),
+        ),
+        "model-rows",
+    )
+    found = rows.agg(F.count_if(F.expr("faults > 0")).alias("n"), F.count_if(F.expr("series_id IS NULL")).alias("nameless")).first()
+    if found.n or found.nameless:
+        raise ValueError(f"{found.n} rows with missing or non-finite features or labels, {found.nameless} without a series")
+    return rows.drop("faults")
 
 
-class BoostingRun:
-    """State of one training loop."""
-
-    def __init__(self, rows: DataFrame, columns: Sequence[str], alpha: float, max_bins: int, track: bool) -> None:
-        self.spark = rows.sparkSession
-        shared_dir(self.spark)
-        self.alpha = alpha
-        self.track = track
-        self.root = scratch_path(self.spark, "boosting")
-        self.partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.state = self._start(rows, list(columns), max_bins)
-
-    def _start(self, rows: DataFrame, columns: list[str], max_bins: int) -> DataFrame:
-        """Bin every feature by quantiles of its task's training rows; start at the training quantile."""
-        vector = F.array(*[F.col(c).cast("double") for c in columns])
-        keep = [c for c in rows.columns if c not in (*columns, "candidate")]
-        base = rows.select(*keep, vector.alias("_x")).repartition(self.partitions, "task")
-        base = self._table(base, "rows")
-        steps = [i / max_bins for i in range(1, max_bins)]
-        learn = F.col("is_train")
-        cuts = self._table(
-            base.filter(learn)
-            .groupBy("task")
-            .agg(
-                F.array(
-                    *[F.array_distinct(F.percentile(F.col("_x")[i], F.lit(steps))) for i in range(len(columns))]
-                ).alias("_cuts"),
-                F.percentile("label", F.lit(self.alpha)).alias("_init"),
-            ),
-            "start",
-        )
-        bins = F.transform(
-            F.arrays_zip(F.col("_x").alias("x"), F.col("_cuts").alias("c")),
-            lambda f: F.size(F.filter(f["c"], lambda cut: cut < f["x"])),
-        )
-        columns_out = {"_bins": bins, "prediction": F.col("_init"), "_node": F.lit(1)}
-        if self.track:
-            columns_out["_path"] = F.array("_init")
-        started = base.join(cuts, "task").withColumns(columns_out)
-        return self._table(started.drop("_cuts", "_init", "_x"), "state/stage=0")
-
-    def _table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _best_splits(self, rows: DataFrame, level: int) -> DataFrame:
-        """Best split of every open node: largest weighted difference of the child means.
-
-        The pseudo-residual takes two values, so counts of the upper one are
-        enough and all sums are exact.  Ties go to the first feature and lowest bin.
-        """
-        cells = (
-            rows.filter(f"is_train AND _node >= {2**level} AND {level} < config.max_depth")
-            .selectExpr(
-                "task", "_node", "config.used AS _used", "config.min_leaf AS _min_leaf",
-                "label >= prediction AS _up", "posexplode(_bins) AS (_feature, _bin)",
-            )
-            .filter("array_contains(_used, _feature)")
-            .groupBy("task", "_node", "_feature", "_bin")
-            .agg(F.expr("count(1) AS _n"), F.expr("count_if(_up) AS _ups"), F.expr("first(_min_leaf) AS _min_leaf"))
-        )
-        over = "OVER (PARTITION BY task, _node, _feature ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
-        left, whole = over.format("CURRENT ROW"), over.format("UNBOUNDED FOLLOWING")
-        sides = cells.selectExpr(
-            "task", "_node", "_feature", "_bin", "_min_leaf",
-            f"sum(_n) {left} AS n1", f"sum(_ups) {left} AS u1",
-            f"sum(_n) {whole} - sum(_n) {left} AS n2", f"sum(_ups) {whole} - sum(_ups) {left} AS u2",
-        )
-        gains = sides.filter("n1 >= _min_leaf AND n2 >= _min_leaf").selectExpr(
-            "task", "_node", "_feature", "_bin", "n1 * n2 / (n1 + n2) * pow(u1 / n1 - u2 / n2, 2) AS _gain"
-        )
-        return (
-            gains.filter(f"_gain > {MINIMUM_GAIN}")
-            .groupBy("task", "_node")
-            .agg(F.expr("max(struct(_gain, -_feature AS f, -_bin AS b)) AS _best"))
-            .selectExpr("task", "_node", "-_best.f AS _f", "-_best.b AS _b")
-        )
+@dataclass
+class Boosted:
+    """What training gives: ``grown`` holds start values, nodes, losses and predictions by ``kind``."""
 
-    @staticmethod
-    def _descend(rows: DataFrame, splits: DataFrame) -> DataFrame:
-        below = "_node * 2 + CAST(get(_bins, _f) > _b AS INT)"
-        return (
-            rows.join(splits, ["task", "_node"], "left")
-            .withColumn("_node", F.expr(f"CASE WHEN _f IS NOT NULL THEN {below} ELSE _node END"))
-            .drop("_f", "_b")
-        )
+    spark: SparkSession
+    rows: DataFrame
+    tasks: DataFrame
+    grown: DataFrame
 
-    def grow(self, stage: int, depth: int) -> None:
-        """Add one tree to every task that still has stages left."""
-        rows = self.state
-        for level in range(depth):
-            splits = self._best_splits(rows.filter(f"config.stages >= {stage}"), level)
-            rows = self._descend(rows, self._table(splits, f"splits/stage={stage}/level={level}"))
-        step = F.percentile(F.expr("label - prediction"), F.lit(self.alpha)) * F.expr("first(config.learning_rate)")
-        leaves = self._table(
-            rows.filter(f"is_train AND config.stages >= {stage}").groupBy("task", "_node").agg(step.alias("_step")),
-            f"leaves/stage={stage}",
-        )
-        updated = rows.join(leaves, ["task", "_node"], "left").withColumn(
-            "prediction", F.expr("prediction + coalesce(_step, 0D)")
-        )
-        if self.track:
-            updated = updated.withColumn("_path", F.expr("concat(_path, array(prediction))"))
-        self.state = self._table(updated.drop("_step").withColumn("_node", F.lit(1)), f"state/stage={stage}")
+    def of(self, kind: str) -> DataFrame:
+        return self.grown.filter(F.col("kind") == kind)
 
 
-def boost(rows: DataFrame, columns: Sequence[str], stages: int, depth: int, alpha: float = 0.05, max_bins: int = 64,
-          track: bool = False) -> BoostingRun:
-    """Train every task of ``rows``.
+def _small(rows: DataFrame, tasks: DataFrame, alpha: float, track: bool, trees: bool, per_group: int) -> DataFrame:
+    """Grow tasks in groups: ``per_group`` tasks that follow each other in a series share one copy of their range."""
+    along = Window.partitionBy("series_id").orderBy("hi", "task")
+    grouped = materialize(
+        tasks.withColumn("chunk", F.floor((F.row_number().over(along) - 1) / per_group)), "boosting-tasks"
+    )
+    ranges = materialize(
+        grouped.groupBy("series_id", "chunk").agg(
+            F.least(F.min("lo"), F.min("start")).alias("first"), F.greatest(F.max("hi"), F.max("stop")).alias("last")
+        ),
+        "boosting-ranges",
+    )
+    dealt = rows.select("series_id", "position", "label", "x").join(ranges, "series_id").filter("position >= first AND position < last")
+    # groups cost far more than their bytes: as many partitions as there are groups, within reason
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4096, ranges.count()))
+    left = dealt.drop("first", "last").repartition(parts, "series_id", "chunk").groupBy("series_id", "chunk")
+    right = grouped.repartition(parts, "series_id", "chunk").groupBy("series_id", "chunk")
+
+    def run(data: pa.Table, models: pa.Table) -> pa.Table:
+        data = data.sort_by("position")
+        positions = data.column("position").to_numpy().astype(np.int64)
+        y = data.column("label").to_numpy()
+        flat = data.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = np.ascontiguousarray(flat.reshape(len(positions), -1).T.astype(np.float64))
+        order = np.argsort(x, axis=1, kind="stable")
+        out: dict[str, list] = {c.split()[0]: [] for c in GROWN.split(", ")}
+
+        def emit(task: str, kind: str, **values) -> None:
+            n = len(next(iter(values.values())))
+            for name in out:
+                out[name].append({"task": [task] * n, "kind": [kind] * n}.get(name, values.get(name, [None] * n)))
+
+        def span(low: int, high: int) -> slice:
+            return slice(*np.searchsorted(positions, [low, high]).tolist())
+
+        for model in models.to_pylist():
+            config = model["config"]
+            held = span(model["start"], model["stop"])
+            grown = grow(
+                x, order, y, positions, span(model["lo"], model["hi"]), held, model["task"], config["stages"],
+                config["learning_rate"], config["max_depth"], config["min_leaf"], config["subsample"], config["seed"],
+                config["used"], alpha, track,
+            )
+            emit(model["task"], "prediction", position=positions[held].tolist(), value=grown.predicted.tolist())
+            if trees:
+                emit(model["task"], "start", value=[grown.start])
+                stage, node, feature, value = zip(*grown.nodes)
+                emit(model["task"], "node", stage=stage, node=node, feature=feature, value=value)
+            if track:
+                stage, loss, later = zip(*grown.losses)
+                emit(model["task"], "loss", stage=stage, value=loss, more=[None if math.isnan(z) else z for z in later])
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+        return pa.table(
+            {c.split()[0]: pa.array([z for part in out[c.split()[0]] for z in part], kinds[c.split()[1]]) for c in GROWN.split(", ")}
+        )
 
-    ``rows`` holds task, is_train, label, config and the feature columns; rows
-    that are not training rows are only predicted.  ``stages`` and ``depth`` are
-    the largest values of any task.
-    """
-    run = BoostingRun(rows, columns, alpha, max_bins, track)
-    for stage in range(1, stages + 1):
-        run.grow(stage, depth)
-    return run
+    return left.cogroup(right).applyInArrow(run, GROWN)
 
 
-def boosted_predictions(run: BoostingRun) -> DataFrame:
-    """Predictions of the rows held out of training, with VaR and violation."""
-    drop = [c for c in ("_bins", "_node", "_path", "config", "is_train") if c in run.state.columns]
+def boost(rows: DataFrame, tasks: DataFrame, alpha: float = 0.05, track: bool = False, trees: bool = True,
+          limit: int = ROW_LIMIT, per_group: int = 16) -> Boosted:
+    """Train every task.
+
+    ``rows`` comes from :func:`model_rows`; ``tasks`` holds task, series_id, the
+    training positions lo <= p < hi, the positions to predict start <= p < stop, and
+    config.  A task whose series is unknown or whose training set is empty is an
+    error.  An empty table of tasks gives empty results.
+    """
+    require_alpha(alpha)
+    spark = rows.sparkSession
+    sizes = rows.groupBy("series_id").agg(F.count("*").alias("rows"))
+    trained = F.greatest(F.lit(0), F.least("hi", "rows") - F.greatest("lo", F.lit(0)))
+    tasks = materialize(
+        tasks.join(sizes, "series_id", "left").withColumn("trained", F.when(F.col("rows").isNull(), 0).otherwise(trained)).withColumn(
+            "large", F.greatest("hi", F.least("stop", "rows")) - F.least("lo", "start") > limit
+        ),
+        "boosting-tasks",
+    )
+    state = tasks.agg(
+        F.count_if(F.expr("trained = 0")).alias("empty"), F.count("*").alias("n"), F.count_distinct("task").alias("names"),
+        F.count_if(F.expr("large")).alias("large"), F.count_if(F.expr("NOT large")).alias("small"),
+        F.max("config.stages").alias("stages"), F.max("config.max_depth").alias("depth"),
+    ).first()
+    if state.empty:
+        raise ValueError(f"{state.empty} models without training rows or of an unknown series")
+    if state.names < state.n:
+        raise ValueError("task names repeat")
+    parts = []
+    if state.small or not state.large:
+        parts.append(_small(rows, tasks.filter("NOT large"), alpha, track, trees, per_group))
+    if state.large:
+        large = LargeModels(rows, tasks.filter("large").drop("rows", "trained", "large"), alpha, track)
+        for stage in range(1, state.stages + 1):
+            large.grow(stage, state.depth)
+        parts.append(large.results())
+    grown = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return Boosted(spark, rows, tasks, materialize(grown, "boosting-grown"))
+
+
+def boosted_predictions(run: Boosted, *keys: str) -> DataFrame:
+    """Predictions of every task's rows with VaR and violation; ``keys`` are columns of the tasks to keep."""
+    predicted = run.of("prediction").select("task", "position", F.col("value").alias("quantile_return"))
     return (
-        run.state.filter(~F.col("is_train"))
-        .drop(*drop)
-        .withColumnsRenamed({"prediction": "quantile_return", "label": "actual_return"})
+        predicted.join(run.tasks.select("task", "series_id", *keys), "task")
+        .join(run.rows.drop("x").withColumnRenamed("label", "actual_return"), ["series_id", "position"])
         .withColumn("var", var_from_quantile(F.col("quantile_return")))
         .withColumn("violation", F.col("actual_return") < F.col("quantile_return"))
+        .drop("position")
     )
 
 
-def staged_loss(run: BoostingRun) -> DataFrame:
+def staged_loss(run: Boosted, *keys: str) -> DataFrame:
     """Mean training and validation loss of each task after every stage (0 is the start value)."""
-    if not run.track:
-        raise ValueError("the run was not tracked")
-    return (
-        run.state.select("task", "is_train", "label", F.posexplode("_path").alias("stage", "_prediction"))
-        .groupBy("task", "stage")
-        .agg(
-            F.avg(
-                F.when(F.col("is_train"), pinball(F.col("label"), F.col("_prediction"), run.alpha))
-            ).alias("train_loss"),
-            F.avg(
-                F.when(~F.col("is_train"), pinball(F.col("label"), F.col("_prediction"), run.alpha))
-            ).alias("validation_loss"),
-        )
+    losses = run.of("loss").select(
+        "task", "stage", F.col("value").alias("train_loss"), F.col("more").alias("validation_loss")
     )
+    return losses.join(run.tasks.select("task", *keys), "task") if keys else losses
 
 
 class QuantileGBT(Estimator):
     """Estimator of one quantile model per value of ``task`` in the training data."""
 
     def __init__(self, columns: Sequence[str], candidate: Candidate = Candidate(), alpha: float = 0.05,
-                 max_bins: int = 64, label: str = "actual_return", task: str = "series_id") -> None:
+                 label: str = "actual_return", task: str = "series_id", order: str = "target_date", limit: int = ROW_LIMIT) -> None:
         super().__init__()
         self.columns = list(columns)
         self.candidate = candidate
-        self.alpha = alpha
-        self.max_bins = max_bins
+        self.alpha = require_alpha(alpha)
         self.label = label
         self.task = task
+        self.order = order
+        self.limit = limit
 
     def _fit(self, dataset: DataFrame) -> QuantileGBTModel:
-        rows = dataset.select(
-            F.col(self.task).alias("task"),
-            F.lit(True).alias("is_train"),
-            F.col(self.label).cast("double").alias("label"),
-            candidate_column(self.candidate, self.columns).alias("config"),
-            *self.columns,
+        rows = model_rows(dataset, self.columns, self.label, self.task, self.order)
+        whole = rows.groupBy("series_id").agg(F.count("*").alias("hi"))
+        nothing = F.lit(0).cast("long")
+        tasks = whole.select(
+            F.col("series_id").cast("string").alias("task"), "series_id", nothing.alias("lo"), "hi", nothing.alias("start"),
+            nothing.alias("stop"), candidate_column(self.candidate, self.columns).alias("config"),
         )
-        run = boost(rows, self.columns, self.candidate.stages, self.candidate.max_depth, self.alpha, self.max_bins)
+        run = boost(rows, tasks, self.alpha, limit=self.limit)
+        if run.tasks.isEmpty():
+            raise ValueError("the training set is empty")
         return QuantileGBTModel(self, run)
 
 
 class QuantileGBTModel(Model):
     """Trees of every task as tables; prediction folds over them inside one projection."""
 
-    def __init__(self, estimator: QuantileGBT, run: BoostingRun) -> None:
+    def __init__(self, estimator: QuantileGBT, run: Boosted) -> None:
         super().__init__()
         self.estimator = estimator
-        spark = run.spark
-        stages, depth = estimator.candidate.stages, estimator.candidate.max_depth
-        self.start = spark.read.schema("task string, _cuts array<array<double>>, _init double").parquet(f"{run.root}/start")
-        splits = spark.read.schema(
-            "task string, _node int, _f int, _b int, stage int, level int"
-        ).parquet(f"{run.root}/splits")
-        leaves = spark.read.schema("task string, _node int, _step double, stage int").parquet(f"{run.root}/leaves")
-        nothing = F.lit(None)
-        self.nodes = (
-            splits.join(self.start.select("task", "_cuts"), "task")
-            .select(
-                "task", "stage", "_node", F.col("_f").alias("feature"),
-                F.get(F.get("_cuts", F.col("_f")), F.col("_b")).alias("threshold"),
-                nothing.cast("double").alias("value"),
-            )
-            .unionByName(
-                leaves.select(
-                    "task", "stage", "_node", nothing.cast("int").alias("feature"),
-                    nothing.cast("double").alias("threshold"), F.col("_step").alias("value"),
-                )
-            )
+        self.start = run.of("start").select("task", F.col("value").alias("_init"))
+        leaf = F.col("feature").isNull()
+        self.nodes = run.of("node").select(
+            "task", "stage", F.col("node").alias("_node"), "feature",
+            F.when(~leaf, F.col("value")).alias("threshold"), F.when(leaf, F.col("value")).alias("value"),
         )
-        self.stages, self.depth = stages, depth
 
     def trees(self) -> DataFrame:
-        """One row per task: start value and an array of trees, each a map from node to its entry."""
-        entry = F.struct(
-            F.col("_node"),
-            F.struct("feature", "threshold", "value"),
-        )
+        """One row per task: start value and a map from stage to tree, itself a map from node to its entry."""
+        entry = F.struct(F.col("_node"), F.struct("feature", "threshold", "value"))
         per_tree = self.nodes.groupBy("task", "stage").agg(F.map_from_entries(F.collect_list(entry)).alias("_tree"))
-        per_task = per_tree.groupBy("task").agg(F.collect_list("_tree").alias("_trees"))
-        return self.start.select("task", "_init").join(per_task, "task", "left")
+        per_task = per_tree.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("stage", "_tree"))).alias("_trees"))
+        return self.start.join(per_task, "task", "left")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        x = F.array(*[F.col(c).cast("double") for c in self.estimator.columns])
+        """Rows of tasks without a model and rows with missing or non-finite features are errors."""
+        columns = self.estimator.columns
+        x = F.transform(feature_vector(columns), lambda v: v.cast("double"))
 
         def value(tree: Column) -> Column:
             node: Column = F.lit(1)
-            for _ in range(self.depth):
+            for _ in range(self.estimator.candidate.max_depth):
                 here = F.try_element_at(tree, node)
                 down = node * 2 + (F.get(x, here["feature"]) > here["threshold"]).cast("int")
                 node = F.when(here["feature"].isNotNull(), down).otherwise(node)
             return F.try_element_at(tree, node)["value"]
 
+        # stages are added in their order, so the sum is the same on every run
         total = F.aggregate(
-            F.coalesce(F.col("_trees"), F.array().cast("array<map<int,struct<feature:int,threshold:double,value:double>>>")),
-            F.col("_init"), lambda acc, tree: acc + F.coalesce(value(tree), F.lit(0.0)),
+            F.sequence(F.lit(1), F.lit(self.estimator.candidate.stages)), F.col("_init"),
+            lambda acc, stage: acc + F.coalesce(value(F.try_element_at(F.col("_trees"), stage)), F.lit(0.0)),
         )
         name = self.estimator.task
+        faulty = not_finite(F.col(f"`{columns[0]}`"))
+        for c in columns[1:]:
+            faulty = faulty | not_finite(F.col(f"`{c}`"))
+        checked = (
+            F.when(F.col("_init").isNull(), F.raise_error(F.concat(F.lit("no model of "), F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("NULL")))))
+            .when(faulty, F.raise_error(F.lit("missing or non-finite feature")))
+            .otherwise(total)
+        )
+        trees = self.trees().withColumnRenamed("task", "_task")
         return (
-            dataset.join(self.trees().withColumnRenamed("task", name), name)
-            .withColumn("quantile_return", total)
+            dataset.join(trees, F.col(f"`{name}`").cast("string") == F.col("_task"), "left")
+            .withColumn("quantile_return", checked.cast("double"))
             .withColumn("var", var_from_quantile(F.col("quantile_return")))
-            .drop("_trees", "_init")
+            .drop("_trees", "_init", "_task")
         )
 
 
@@ -305,3 +356,12 @@ def forecast_one(model: QuantileGBTModel, row: DataFrame) -> DataFrame:
     if row.limit(2).count() != 1:
         raise ValueError("exactly one feature row is required")
     return model.transform(row).select("quantile_return", "var")
+
+
+def forecast_each(model: QuantileGBTModel, rows: DataFrame) -> DataFrame:
+    """Quantile and VaR of exactly one feature row of every task."""
+    name = model.estimator.task
+    again = rows.groupBy(name).count().filter("count > 1")
+    if not again.isEmpty():
+        raise ValueError("exactly one feature row of each task is required")
+    return model.transform(rows).select(name, "quantile_return", "var")

@@ -1,7 +1,7 @@
 """Boosted models on folds, holdouts, grids and refit points.
 
-Each function lays out its models as tasks of one training table and trains them
-in a single loop.
+Each function lays out its models as ranges of positions in the series; rows are
+written once and all models of a call are trained together.
 """
 
 from __future__ import annotations
@@ -12,91 +12,93 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.alignment import training_rows
-from ..operators.blocked import number_sessions
-from ..session import materialize
-from .folds import dev_holdout_split, expanding_folds, fold_training_rows
-from .quantile_boosting import BoostingRun, Candidate, boost, boosted_predictions, staged_loss, with_candidates
+from .quantile_boosting import (
+    Boosted,
+    Candidate,
+    boost,
+    boosted_predictions,
+    model_rows,
+    staged_loss,
+    with_candidates,
+)
 
-KEYS = ["series_id", "target_date", "as_of"]
+KEYS = ["target_date", "as_of"]
 
 
-def _task_rows(train: DataFrame, valid: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    keep = [*KEYS, key, F.col("actual_return").alias("label"), *columns]
-    both = train.select(*keep, F.lit(True).alias("is_train")).unionByName(
-        valid.select(*keep, F.lit(False).alias("is_train"))
-    )
-    return both.withColumn("task", F.concat_ws("/", "series_id", key))
-
+def _train(rows: DataFrame, tasks: DataFrame, key: str, grid: Mapping[str, Candidate], columns: Sequence[str],
+           track: bool = False) -> Boosted:
+    named = tasks.withColumn("task", F.concat_ws("/", "series_id", key))
+    return boost(rows, with_candidates(named, grid, list(columns)), track=track, trees=False)
 
-def _train(rows: DataFrame, grid: Mapping[str, Candidate], columns: Sequence[str], max_bins: int,
-           track: bool = False) -> BoostingRun:
-    return boost(
-        with_candidates(rows, grid, list(columns)), columns,
-        stages=max(c.stages for c in grid.values()), depth=max(c.max_depth for c in grid.values()),
-        max_bins=max_bins, track=track,
-    )
 
-
-def _named(run: BoostingRun, key: str) -> DataFrame:
+def _named(run: Boosted, key: str) -> DataFrame:
     """Predictions with the candidate name as ``model``."""
-    return (
-        boosted_predictions(run)
-        .withColumn("model", F.element_at(F.split("task", "/"), -1))
-        .select("series_id", "model", F.col(key).cast("string").alias(key), "as_of", "target_date", "actual_return",
-                "quantile_return", "var", "violation")
+    return boosted_predictions(run, key, "candidate").select(
+        "series_id", F.col("candidate").alias("model"), F.col(key).cast("string").alias(key), "as_of", "target_date",
+        "actual_return", "quantile_return", "var", "violation",
     )
 
 
-def fold_rows(features: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
-    folded = materialize(expanding_folds(features, k), "folded")
-    return _task_rows(fold_training_rows(folded, k), folded.filter(F.col("fold") > 0), "fold", columns)
+def fold_tasks(rows: DataFrame, k: int = 5) -> DataFrame:
+    """Fold f trains on all blocks before block f and predicts block f; see :func:`folds.expanding_folds`."""
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    width = F.floor(F.col("n") / F.lit(k + 1))
+    sizes = rows.groupBy("series_id").agg(F.count("*").alias("n")).withColumn("width", width).filter("width > 0")
+    opens = F.col("n") - (F.lit(k + 1) - F.col("fold")) * F.col("width")
+    return sizes.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k)))).select(
+        "series_id", "fold", F.lit(0).cast("long").alias("lo"), opens.alias("hi"), opens.alias("start"),
+        (opens + F.col("width")).alias("stop"),
+    )
 
 
-def cv_predictions(features: DataFrame, grid: Mapping[str, Candidate], columns: Sequence[str], k: int = 5,
-                   max_bins: int = 64) -> DataFrame:
+def cv_predictions(features: DataFrame, grid: Mapping[str, Candidate], columns: Sequence[str], k: int = 5) -> DataFrame:
     """Every candidate refit once per expanding fold; predictions of the validation blocks."""
-    return _named(_train(fold_rows(features, columns, k), grid, columns, max_bins), "fold")
+    rows = model_rows(features, columns, keep=KEYS)
+    return _named(_train(rows, fold_tasks(rows, k), "fold", grid, columns), "fold")
 
 
-def cv_staged_loss(features: DataFrame, candidate: Candidate, columns: Sequence[str], k: int = 5,
-                   max_bins: int = 64) -> DataFrame:
+def cv_staged_loss(features: DataFrame, candidate: Candidate, columns: Sequence[str], k: int = 5) -> DataFrame:
     """Training and validation loss per fold after every boosting stage."""
-    run = _train(fold_rows(features, columns, k), {"model": candidate}, columns, max_bins, track=True)
-    parts = F.split("task", "/")
-    return staged_loss(run).select(
-        parts[0].alias("series_id"), parts[1].cast("int").alias("fold"), "stage", "train_loss", "validation_loss"
-    )
+    rows = model_rows(features, columns)
+    run = _train(rows, fold_tasks(rows, k), "fold", {"model": candidate}, columns, track=True)
+    return staged_loss(run, "series_id", "fold").select("series_id", "fold", "stage", "train_loss", "validation_loss")
 
 
 def holdout_predictions(features: DataFrame, grid: Mapping[str, Candidate], columns: Sequence[str],
-                        development_end: date, max_bins: int = 64) -> DataFrame:
+                        development_end: date) -> DataFrame:
     """One fit on the development rows, predictions of the holdout rows."""
-    split = dev_holdout_split(features, development_end)
-    rows = _task_rows(
-        split.filter(F.col("part") == "development"), split.filter(F.col("part") == "holdout"), "part", columns
-    ).withColumn("task", F.col("series_id"))
-    return _named(_train(rows, grid, columns, max_bins), "part")
+    rows = model_rows(features, columns, keep=KEYS)
+    early = F.count_if(F.col("target_date") <= F.lit(development_end))
+    tasks = rows.groupBy("series_id").agg(early.alias("hi"), F.count("*").alias("stop")).select(
+        "series_id", F.lit("holdout").alias("part"), F.lit(0).cast("long").alias("lo"), "hi", F.col("hi").alias("start"), "stop"
+    )
+    return _named(_train(rows, tasks, "part", grid, columns), "part")
+
+
+def refit_tasks(rows: DataFrame, first: int, refit_every: int, rolling: int | None = None) -> DataFrame:
+    """Refit k trains before position first + k * refit_every and predicts up to the next refit."""
+    if first < 1 or refit_every < 1 or (rolling is not None and rolling < 1):
+        raise ValueError("first, refit_every and rolling must be positive")
+    sizes = rows.groupBy("series_id").agg(F.count("*").alias("n")).filter(F.col("n") > first)
+    last = F.floor((F.col("n") - 1 - first) / refit_every)
+    opens = F.lit(first) + F.col("refit") * refit_every
+    lo = F.lit(0) if rolling is None else F.greatest(F.lit(0), opens - rolling)
+    return sizes.withColumn("refit", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
+        "series_id", "refit", lo.cast("long").alias("lo"), opens.alias("hi"), opens.alias("start"),
+        F.least(opens + refit_every, "n").alias("stop"),
+    )
 
 
 def walk_forward_model(features: DataFrame, candidate: Candidate, columns: Sequence[str], first: int,
-                       refit_every: int, rolling: int | None = None, max_bins: int = 64) -> DataFrame:
+                       refit_every: int, rolling: int | None = None) -> DataFrame:
     """Refit every ``refit_every`` sessions on all earlier (or the last ``rolling``) rows.
 
     Refit k predicts sessions first + k * refit_every up to the next refit, for as
     many refits as a series has sessions.  ``refit_every`` 1 is one model per target.
     """
-    numbered = materialize(number_sessions(features, ("series_id",), "target_date"), "numbered")
-    last = numbered.agg(F.max("position")).first()[0]
-    valid = numbered.filter(F.col("position") >= first).withColumn(
-        "task", F.floor((F.col("position") - first) / refit_every).cast("int")
-    )
-    train = training_rows(numbered, max(0, (last or 0) - first) // refit_every + 1, first, refit_every, rolling)
-    train = train.join(valid.select("series_id", "task").distinct(), ["series_id", "task"], "left_semi")
-    rows = _task_rows(
-        train.withColumnRenamed("task", "refit"), valid.withColumnRenamed("task", "refit"), "refit", columns
-    )
-    return _named(_train(rows, {"model": candidate}, columns, max_bins), "refit")
+    rows = model_rows(features, columns, keep=KEYS)
+    return _named(_train(rows, refit_tasks(rows, first, refit_every, rolling), "refit", {"model": candidate}, columns), "refit")
 
 
 def paired_gain(predictions: DataFrame, base: str, candidate: str) -> DataFrame:

@@ -134,7 +134,7 @@ CONFIG = Candidate(stages=4, learning_rate=0.3, max_depth=2, min_leaf=10)
 
 
 def test_boosting_learns_and_starts_at_the_quantile(spark, features):
-    losses = cv_staged_loss(features, CONFIG, ["x1", "x2"], k=2, max_bins=16).orderBy("series_id", "fold", "stage").collect()
+    losses = cv_staged_loss(features, CONFIG, ["x1", "x2"], k=2).orderBy("series_id", "fold", "stage").collect()
     assert len(losses) == 2 * 2 * 5
     by_task = {}
     for r in losses:
@@ -144,7 +144,7 @@ def test_boosting_learns_and_starts_at_the_quantile(spark, features):
 
 
 def test_model_splits_on_the_informative_feature_and_respects_leaves(spark, features):
-    model = QuantileGBT(["x1", "x2"], CONFIG, max_bins=16).fit(features)
+    model = QuantileGBT(["x1", "x2"], CONFIG).fit(features)
     first = model.nodes.filter("stage = 1 AND _node = 1 AND feature IS NOT NULL").collect()
     assert {r.task for r in first} == {"P", "Q"} and {r.feature for r in first} == {0}
     out = model.transform(features).cache()
@@ -153,7 +153,7 @@ def test_model_splits_on_the_informative_feature_and_respects_leaves(spark, feat
     assert low < high < 0
     share = out.filter("actual_return < quantile_return").count() / out.count()
     assert share < 0.12
-    again = QuantileGBT(["x1", "x2"], CONFIG, max_bins=16).fit(features).transform(features)
+    again = QuantileGBT(["x1", "x2"], CONFIG).fit(features).transform(features)
     assert out.exceptAll(again).isEmpty()
     assert forecast_one(model, features.filter("series_id = 'P'").limit(1)).first().quantile_return is not None
     with pytest.raises(ValueError):
@@ -171,18 +171,18 @@ def test_no_splits_gives_the_plain_quantile(spark, features):
 def test_fold_predictions_do_not_see_the_future(spark, features):
     grid = {"a": CONFIG, "b": Candidate(2, 0.1, 1, 5, ("x2",))}
     names = ["series_id", "model", "fold", "target_date", "quantile_return"]
-    base = cv_predictions(features, grid, ["x1", "x2"], k=2, max_bins=16).select(*names)
+    base = cv_predictions(features, grid, ["x1", "x2"], k=2).select(*names)
     cut = expanding_folds(features, 2).filter("fold = 2").agg(F.min("target_date")).first()[0]
     disturbed = features.withColumn(
         "actual_return", F.when(F.col("target_date") >= F.lit(cut), F.col("actual_return") * 5).otherwise(F.col("actual_return"))
     )
-    other = cv_predictions(disturbed, grid, ["x1", "x2"], k=2, max_bins=16).select(*names)
+    other = cv_predictions(disturbed, grid, ["x1", "x2"], k=2).select(*names)
     assert base.count() == 2 * 2 * 160
     assert base.exceptAll(other).isEmpty()
 
 
 def test_refits_predict_every_later_session_once(spark, features):
-    out = walk_forward_model(features, Candidate(1, 0.1, 1, 5), ["x1"], first=100, refit_every=50, max_bins=8)
+    out = walk_forward_model(features, Candidate(1, 0.1, 1, 5), ["x1"], first=100, refit_every=50)
     rows = out.collect()
     assert len(rows) == 2 * 140 and len({(r.series_id, r.target_date) for r in rows}) == len(rows)
     assert {r.refit for r in rows} == {"0", "1", "2"}
