@@ -145,9 +145,9 @@ def tree_nodes(members: DataFrame, conversations: DataFrame) -> DataFrame:
     parents = below.select(
         (F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id")
     )
-    top = root.select(F.col("conv_id").alias("parent_conv_id"))
     # the many nodes of depth 1 have the one root for a parent: they are not joined by its key
-    first = below.where("depth = 1").join(F.broadcast(top))
+    least = conversations.agg(F.min("conv_id")).first()[0]
+    first = below.where("depth = 1").withColumn("parent_conv_id", F.lit(least).cast("long"))
     later = below.where("depth > 1").join(parents, ["depth", "p1", "p2"])
     return materialize(
         root.unionByName(first.select(*root.columns)).unionByName(later.select(*root.columns)), "tree-nodes"
