@@ -46,3 +46,13 @@ def eligible_session(instant: Column) -> Column:
     local = F.from_utc_timestamp(instant, EXCHANGE_ZONE)
     day = F.when(F.hour(local) >= CLOSE_HOUR, F.to_date(local)).otherwise(F.date_sub(F.to_date(local), 1))
     return F.date_sub(day, F.greatest(F.weekday(day) - F.lit(4), F.lit(0)))
+
+
+def next_open_session(day: Column, open_weekdays: Column, closed: Column | None = None, horizon: int = 31) -> Column:
+    """The first later day whose weekday (0 is Monday) is open and which is not among the ``closed`` dates.
+
+    NULL if the next ``horizon`` days hold none.
+    """
+    later = F.sequence(F.date_add(day, 1), F.date_add(day, horizon))
+    shut = F.coalesce(closed, F.array().cast("array<date>")) if closed is not None else F.array().cast("array<date>")
+    return F.get(F.filter(later, lambda d: F.array_contains(open_weekdays, F.weekday(d)) & ~F.array_contains(shut, d)), 0)

@@ -75,14 +75,16 @@ def require_split_sizes(split: DataFrame, minimum: int, key: str = "series_id")
         raise ValueError(f"development or holdout smaller than {minimum} rows")
 
 
-def cv_ranking(metrics: DataFrame, prefix: str | None = None, loss: str = "mean_pinball_loss") -> DataFrame:
-    """Mean fold loss per model, ranked; ties keep name order.  ``prefix`` picks the best candidate."""
-    means = metrics.groupBy("model").agg(F.avg(loss).alias("cv_mean_loss"), F.count(F.lit(1)).alias("folds"))
+def cv_ranking(metrics: DataFrame, prefix: str | None = None, loss: str = "mean_pinball_loss",
+               key: str = "series_id") -> DataFrame:
+    """Mean fold loss per series and model, ranked in each series; ties keep name order.
+
+    ``prefix`` picks the best candidate of each series among the models whose names
+    begin with it, as one aggregate.
+    """
+    means = metrics.groupBy(key, "model").agg(F.avg(loss).alias("cv_mean_loss"), F.count(F.lit(1)).alias("folds"))
     if prefix is not None:
-        return means.filter(F.col("model").startswith(prefix)).orderBy("cv_mean_loss", "model").limit(1)
-    ranking = Window.partitionBy("_all").orderBy("cv_mean_loss", "model")
-    return (
-        means.withColumn("_all", F.lit(1))
-        .withColumn("rank", F.row_number().over(ranking).cast("long"))
-        .drop("_all")
-    )
+        best = F.min(F.struct("cv_mean_loss", "model", "folds")).alias("best")
+        return means.filter(F.col("model").startswith(prefix)).groupBy(key).agg(best).select(key, "best.*")
+    ranking = Window.partitionBy(key).orderBy("cv_mean_loss", "model")
+    return means.withColumn("rank", F.row_number().over(ranking).cast("long"))

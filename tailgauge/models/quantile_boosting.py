@@ -309,29 +309,34 @@ class QuantileGBTModel(Model):
         )
 
     def trees(self) -> DataFrame:
-        """One row per task: start value and a map from stage to tree, itself a map from node to its entry."""
+        """One row per task: start value and its trees in the order of stages, each an array of entries by node."""
         entry = F.struct(F.col("_node"), F.struct("feature", "threshold", "value"))
-        per_tree = self.nodes.groupBy("task", "stage").agg(F.map_from_entries(F.collect_list(entry)).alias("_tree"))
-        per_task = per_tree.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("stage", "_tree"))).alias("_trees"))
+        per_tree = self.nodes.groupBy("task", "stage").agg(F.map_from_entries(F.collect_list(entry)).alias("_by"))
+        places = F.sequence(F.lit(0), F.lit(2 ** (self.estimator.candidate.max_depth + 1) - 1))
+        tree = F.transform(places, lambda i: F.try_element_at(F.col("_by"), i))
+        by_stage = F.map_from_entries(F.collect_list(F.struct("stage", tree.alias("_tree"))))
+        stages = F.sequence(F.lit(1), F.lit(self.estimator.candidate.stages))
+        per_task = per_tree.groupBy("task").agg(by_stage.alias("_by")).select(
+            "task", F.transform(stages, lambda i: F.try_element_at(F.col("_by"), i)).alias("_trees")
+        )
         return self.start.join(per_task, "task", "left")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """Rows of tasks without a model and rows with missing or non-finite features are errors."""
         columns = self.estimator.columns
-        x = F.transform(feature_vector(columns), lambda v: v.cast("double"))
+        levels = F.sequence(F.lit(1), F.lit(self.estimator.candidate.max_depth))
 
         def value(tree: Column) -> Column:
-            node: Column = F.lit(1)
-            for _ in range(self.estimator.candidate.max_depth):
-                here = F.try_element_at(tree, node)
-                down = node * 2 + (F.get(x, here["feature"]) > here["threshold"]).cast("int")
-                node = F.when(here["feature"].isNotNull(), down).otherwise(node)
-            return F.try_element_at(tree, node)["value"]
+            def down(node: Column, _: Column) -> Column:
+                here = F.get(tree, node)
+                right = F.get(F.col("_x"), here["feature"]).cast("double") > here["threshold"]
+                return F.when(here["feature"].isNotNull(), node * 2 + right.cast("int")).otherwise(node)
+
+            return F.get(tree, F.aggregate(levels, F.lit(1), down))["value"]
 
         # stages are added in their order, so the sum is the same on every run
         total = F.aggregate(
-            F.sequence(F.lit(1), F.lit(self.estimator.candidate.stages)), F.col("_init"),
-            lambda acc, stage: acc + F.coalesce(value(F.try_element_at(F.col("_trees"), stage)), F.lit(0.0)),
+            F.col("_trees"), F.col("_init"), lambda acc, tree: acc + F.coalesce(value(tree), F.lit(0.0))
         )
         name = self.estimator.task
         faulty = not_finite(F.col(f"`{columns[0]}`"))
@@ -344,10 +349,11 @@ class QuantileGBTModel(Model):
         )
         trees = self.trees().withColumnRenamed("task", "_task")
         return (
-            dataset.join(trees, F.col(f"`{name}`").cast("string") == F.col("_task"), "left")
+            dataset.withColumn("_x", feature_vector(columns))
+            .join(trees, F.col(f"`{name}`").cast("string") == F.col("_task"), "left")
             .withColumn("quantile_return", checked.cast("double"))
             .withColumn("var", var_from_quantile(F.col("quantile_return")))
-            .drop("_trees", "_init", "_task")
+            .drop("_trees", "_init", "_task", "_x")
         )
 
 

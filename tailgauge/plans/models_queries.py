@@ -160,24 +160,25 @@ def _(t: Tables):
     return t.fold_predictions
 
 
-CV = """SELECT method AS model, fold, avg(greatest(0.05 * (actual_return - quantile_return),
-  -0.95 * (actual_return - quantile_return))) AS loss FROM foldpred WHERE series_id = 'ALL' GROUP BY 1, 2"""
+CV = """SELECT series_id, method AS model, fold, avg(greatest(0.05 * (actual_return - quantile_return),
+  -0.95 * (actual_return - quantile_return))) AS loss FROM foldpred GROUP BY 1, 2, 3"""
 
 
 @query("cv_ranking", "foldpred", f"""
-  SELECT *, row_number() OVER (ORDER BY cv_mean_loss, model) AS rank FROM (
-    SELECT model, avg(loss) AS cv_mean_loss, count(*) AS folds FROM ({CV}) GROUP BY 1)
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cv_mean_loss, model) AS rank FROM (
+    SELECT series_id, model, avg(loss) AS cv_mean_loss, count(*) AS folds FROM ({CV}) GROUP BY 1, 2)
 """, "cv_mean_loss")
 def _(t: Tables):
-    metrics = fold_metrics(t.fold_predictions.filter(F.col("series_id") == "ALL"))
+    metrics = fold_metrics(t.fold_predictions)
     return V.cv_ranking(metrics.filter(F.col("fold") != "all_validation"))
 
 
 @query("cv_best_candidate", "foldpred", f"""
-  SELECT model, avg(loss) AS cv_mean_loss, count(*) AS folds FROM ({CV}) WHERE starts_with(model, 'h') GROUP BY 1
+  SELECT series_id, model, avg(loss) AS cv_mean_loss, count(*) AS folds FROM ({CV}) WHERE starts_with(model, 'h')
+  GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY avg(loss), model) = 1
 """, "cv_mean_loss")
 def _(t: Tables):
-    metrics = fold_metrics(t.fold_predictions.filter(F.col("series_id") == "ALL"))
+    metrics = fold_metrics(t.fold_predictions)
     return V.cv_ranking(metrics.filter(F.col("fold") != "all_validation"), prefix="h")
 
 
