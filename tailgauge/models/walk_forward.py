@@ -79,29 +79,29 @@ def as_predictions(forecasts: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def compare_methods(returns: DataFrame, long_window: int = 250, short_window: int = 125, decay: float = 0.94,
-                    alpha: float = 0.05, block: int | None = None) -> DataFrame:
-    """Historical simulation with two windows and EWMA on their common targets.
+def compare_methods(returns: DataFrame, boosted: DataFrame, window: int = 250, decay: float = 0.94, alpha: float = 0.05,
+                    block: int | None = None) -> DataFrame:
+    """Historical simulation, EWMA and the forecasts of a boosted model on their common targets.
 
-    All forecasts of a session are computed on one row, so target dates and
-    actual returns are the same for every method by construction.
+    ``boosted`` holds series_id, target_date and quantile_return, one row per target, as
+    :func:`refits.walk_forward_model` gives them.  All forecasts of a session meet on one
+    row, so target dates and actual returns are the same for every method by construction.
     """
     path = ewma_path(returns, decay=decay, alpha=alpha).withColumnRenamed("quantile_return", "_ewma")
 
     def build(w: WindowSpec) -> dict[str, Column]:
-        return {
-            "as_of": F.lag("date").over(w),
-            "_long": window_quantile(w, long_window, alpha),
-            "_short": window_quantile(w, short_window, alpha),
-        }
+        return {"as_of": F.lag("date").over(w), "_long": window_quantile(w, window, alpha)}
 
-    wide = with_window_columns(path, build, max(long_window, short_window), block=block).filter(
-        F.col("_long").isNotNull() & F.col("_short").isNotNull() & F.col("_ewma").isNotNull()
+    trees = boosted.select("series_id", F.col("target_date").alias("date"), F.col("quantile_return").alias("_boosted"))
+    wide = (
+        with_window_columns(path, build, window, block=block)
+        .filter(F.col("_long").isNotNull() & F.col("_ewma").isNotNull())
+        .join(trees.filter(F.col("_boosted").isNotNull()), ["series_id", "date"])
     )
     methods = F.array(
         F.struct(F.lit("historical_simulation").alias("method"), F.col("_long").alias("quantile_return")),
         F.struct(F.lit("ewma").alias("method"), F.col("_ewma").alias("quantile_return")),
-        F.struct(F.lit("gradient_boosting").alias("method"), F.col("_short").alias("quantile_return")),
+        F.struct(F.lit("gradient_boosting").alias("method"), F.col("_boosted").alias("quantile_return")),
     )
     long = wide.select("series_id", "as_of", "date", "ret", F.inline(methods))
     return as_predictions(long, "method", "as_of").select(

@@ -176,7 +176,7 @@ def _(t: Tables):
 def _(t: Tables):
     from ..models.walk_forward import compare_methods
 
-    again = compare_methods(t.portfolio, block=512)
+    again = compare_methods(t.portfolio, t.boosted, block=512)
     return J.compare_reference(
         t.predictions, again, ["series_id", "method", "target_date"], "quantile_return", ["series_id", "method"]
     )

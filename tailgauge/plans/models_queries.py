@@ -114,12 +114,12 @@ def _(t: Tables):
 
 @query("method_predictions", "pred", "SELECT * FROM pred", "actual_return quantile_return var")
 def _(t: Tables):
-    return compare_methods(t.portfolio)
+    return compare_methods(t.portfolio, t.boosted)
 
 
 @query("method_predictions_blocked", "pred", "SELECT * FROM pred", "actual_return quantile_return var")
 def _(t: Tables):
-    return compare_methods(t.portfolio, block=512)
+    return compare_methods(t.portfolio, t.boosted, block=512)
 
 
 @query("expanding_folds", "folded", """

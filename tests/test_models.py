@@ -11,6 +11,7 @@ from tailgauge.models.forecast import monetary_var, next_session_forecast
 from tailgauge.models.historical import historical_var, rolling_historical_var
 from tailgauge.models.quantile_boosting import Candidate, QuantileGBT, forecast_one
 from tailgauge.models.refits import cv_predictions, cv_staged_loss, walk_forward_model
+from tailgauge.operators.features import FEATURES_7, feature_table_12f
 from tailgauge.models.walk_forward import compare_methods, empirical_quantile, python_forecaster, walk_forward
 
 Z = -1.6448536269514726
@@ -78,19 +79,24 @@ def test_expanding_mode_uses_all_earlier_sessions(spark, series):
         walk_forward(series, empirical_quantile(), 30, "sideways")
 
 
+def three_methods(returns):
+    trees = walk_forward_model(feature_table_12f(returns), Candidate(2, 0.1, 2, 3), FEATURES_7, first=10, refit_every=7)
+    return compare_methods(returns, trees, 40)
+
+
 def test_the_future_does_not_change_forecasts(spark, series):
     cut = "2020-06-01"
     disturbed = series.withColumn("ret", F.when(F.col("date") >= cut, -F.col("ret") * 2).otherwise(F.col("ret")))
     keep = ["series_id", "method", "target_date", "as_of", "quantile_return"]
 
     def past(df):
-        return {tuple(r) for r in compare_methods(df, 40, 20).filter(F.col("target_date") <= cut).select(*keep).collect()}
+        return {tuple(r) for r in three_methods(df).filter(F.col("target_date") <= cut).select(*keep).collect()}
 
     assert past(series) == past(disturbed) and past(series)
 
 
 def test_strict_violation_and_common_targets(spark, series):
-    rows = compare_methods(series, 40, 20).collect()
+    rows = three_methods(series).collect()
     assert all(r.violation == (r.actual_return < r.quantile_return) for r in rows)
     assert all(r.as_of < r.target_date and r["var"] == max(0.0, -r.quantile_return) for r in rows)
     per_date = {}
@@ -164,8 +170,8 @@ def test_no_splits_gives_the_plain_quantile(spark, features):
     flat = Candidate(stages=1, learning_rate=1.0, max_depth=2, min_leaf=1000)
     row = QuantileGBT(["x1"], flat).fit(features).transform(features).filter("series_id = 'P'").first()
     values = sorted(r.actual_return for r in features.filter("series_id = 'P'").collect())
-    at = 0.05 * (len(values) - 1)
-    assert row.quantile_return == pytest.approx(values[int(at)] + (at - int(at)) * (values[int(at) + 1] - values[int(at)]))
+    # a leaf moves by the least residual that covers alpha of its rows
+    assert row.quantile_return == pytest.approx(values[math.ceil(0.05 * len(values)) - 1])
 
 
 def test_fold_predictions_do_not_see_the_future(spark, features):
