@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .columns import buffer_of, checked, per_batch, ship, text_key
+from .columns import buffer_of, checked, per_batch, ship, text_key, unused
 from .components import connected_components
 from .words import mixed, span_hashes, shingles, word_spans
 
@@ -287,6 +287,14 @@ def near_duplicates(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     words are classes of their own.  Rows that repeat count as copies; ties do not
     arise; an empty table gives an empty result.
     """
+    named, alone = _classes(docs, bands)
+    classes = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return named.join(classes, "class").select("doc_id", "class_id", "class_size").unionByName(alone)
+
+
+def _classes(docs: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, class) of the rows with words, (doc_id, key) of the others."""
     marked = materialize(signed(docs, bands), "bag-signed")
     nodes = materialize(
         marked.where("node IS NOT NULL").groupBy("node").agg(
@@ -307,26 +315,33 @@ def near_duplicates(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     more = materialize(crowded_links(members, texts, labels, bands), "bag-links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
-    named = marked.where("node IS NOT NULL").select("doc_id", "node").join(labels, "node", "left")
-    named = named.select("doc_id", F.coalesce("component", "node").alias("class"))
-    classes = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    alone = marked.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return named.join(classes, "class").select("doc_id", "class_id", "class_size").unionByName(alone)
+    named = marked.where("node IS NOT NULL").select("doc_id", "key", "node").join(labels, "node", "left")
+    named = named.select("doc_id", "key", F.coalesce("component", "node").alias("class"))
+    return named, marked.where("node IS NULL").select("doc_id", "key")
 
 
 def keep_one(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """One row of each class, the one of the least doc_id, all columns unchanged.
+    """One row of each class, the one of the least doc_id (then of the least text hash), all columns unchanged.
 
-    A row that repeats inside a kept document's id is kept once; rows with a null
-    doc_id or without words are kept.
+    A document is known by its id and its text: of rows that share an id but not a
+    class, each class keeps its own.  Rows that repeat id and text are kept once;
+    rows with a null doc_id or without words are kept.
     """
-    classes = near_duplicates(docs, bands)
-    gone = classes.where("doc_id != class_id").select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if again.isEmpty():
-        return kept
-    repeated = again.withColumnRenamed("doc_id", "_again")
-    once = kept.join(repeated, kept["doc_id"] == F.col("_again"), "left_anti")
-    many = kept.join(repeated, kept["doc_id"] == F.col("_again"), "left_semi")
-    return once.unionByName(many.dropDuplicates(["doc_id", "text"]))
+    named, _ = _classes(docs, bands)
+    numbered = materialize(named.where("doc_id IS NOT NULL"), "bag-classes")
+    row = F.struct("doc_id", "key")
+    least = numbered.groupBy("class").agg(F.min(row).alias("least"))
+    others = numbered.join(least, "class").where(row != F.col("least")).select("doc_id", "key").distinct()
+    copies = numbered.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key")
+    key, gone_id, gone_key = (unused(x, docs) for x in ("text_key", "gone_id", "gone_key"))
+    keyed = docs.withColumn(key, text_key("text"))
+
+    def of(rows: DataFrame, names: DataFrame, how: str) -> DataFrame:
+        names = names.select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key))
+        return rows.join(names, (rows["doc_id"] == names[gone_id]) & (rows[key] == names[gone_key]), how)
+
+    kept = of(keyed, others, "left_anti")
+    if copies.isEmpty():
+        return kept.drop(key)
+    once, many = of(kept, copies, "left_anti"), of(kept, copies, "left_semi")
+    return once.unionByName(many.dropDuplicates(["doc_id", key])).drop(key)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import checked, per_batch
+from .columns import checked, per_batch, remembers
 
 #: Strings up to this many bytes are encoded in one go.
 LEAF = 16
@@ -241,6 +241,9 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
+remembers(__name__, tokenizer.cache_clear)
+
+
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every whole text.
 

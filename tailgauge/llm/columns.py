@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def checked(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; anything else a table carries cannot clash with them."""
     missing = [n for n in names if n not in docs.columns]
@@ -54,6 +56,34 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             start, before = stop, int(ends[stop - 1])
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores as long as the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Name what a module keeps in a worker between tasks, so that other modules' tasks can let it go."""
+    _memories[owner] = forget
+
+
+def forget_others(owner: str) -> None:
+    """Workers are used again by later stages: drop what earlier ones of other modules have kept."""
+    others = [forget for name, forget in _memories.items() if name != owner]
+    for forget in others:
+        forget()
+    if others:
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: freed memory stays with the process
+
+
 _shipped: set[str] = set()
 
 
@@ -82,7 +112,10 @@ def per_batch(
     arrow = to_arrow_schema(kind)
     ship(df.sparkSession)
 
+    owner = function.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
         for part in slices(batches, column, most):
             found = function(part)
             yield pa.RecordBatch.from_arrays(

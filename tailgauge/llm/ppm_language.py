@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import buffer_of, checked, per_batch, remainder, ship
+from .columns import buffer_of, checked, forget_others, per_batch, remainder, ship, slices
 
 ORDER = 3
 #: Three line ends stand before each text, so every byte has a full context.
@@ -121,17 +121,21 @@ class ContextTrees:
 
 
 def bounded_sample(labelled: DataFrame, sample_docs: int, max_bytes: int) -> DataFrame:
-    """At most ``sample_docs`` texts of each language, none longer than ``max_bytes``.
+    """At most ``sample_docs`` whole texts of each language, those of up to ``max_bytes`` first.
 
     Ids are dealt into ``sample_docs`` buckets by a hash and each bucket gives the
-    id with the least hash, so only numbers are shuffled and every task combines
-    its own first.  One row is taken where a row repeats.
+    id with the least hash among its shorter texts, or among all if it has no
+    shorter one; so a language that occurs in long texts only is learned too.  Only
+    numbers are shuffled and every task combines its own first.  One row is taken
+    where a row repeats.
     """
-    keyed = labelled.where(F.octet_length("text").between(1, max_bytes)).select(
-        "lang", "text", F.xxhash64("doc_id", F.lit(10)).alias("h")
+    size = F.octet_length("text")
+    keyed = labelled.where(size > 0).select(
+        "lang", "text", (size > max_bytes).alias("long"), F.xxhash64("doc_id", F.lit(10)).alias("h")
     )
-    best = keyed.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("bucket")).agg(F.min("h").alias("h"))
-    return keyed.join(best.select("lang", "h"), ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text"))
+    best = keyed.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("bucket")).agg(F.min(F.struct("long", "h")).alias("best"))
+    chosen = keyed.join(best.select("lang", "best.long", "best.h"), ["lang", "long", "h"])
+    return chosen.groupBy("lang", "h").agg(F.max("text").alias("text"))
 
 
 def gram_counts(sample: DataFrame) -> DataFrame:
@@ -140,12 +144,14 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     def count(batch: pa.RecordBatch) -> dict:
         langs, grams, counts = [], [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            b = np.frombuffer(bytes([LEAD] * ORDER) + text.encode(), np.uint8).astype(np.int64)
-            packed = ((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8)) | b[3:]
-            values, n = np.unique(packed, return_counts=True)
-            langs += [lang] * len(values)
-            grams.append(values)
-            counts.append(n)
+            raw = bytes([LEAD] * ORDER) + text.encode()
+            for at in range(0, len(raw) - ORDER, 1 << 20):
+                b = np.frombuffer(raw[at : at + (1 << 20) + ORDER], np.uint8).astype(np.int64)
+                packed = ((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8)) | b[3:]
+                values, n = np.unique(packed, return_counts=True)
+                langs += [lang] * len(values)
+                grams.append(values)
+                counts.append(n)
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return {"lang": langs, "gram": join(grams), "n": join(counts)}
 
@@ -156,8 +162,8 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, sample_docs: int = 200, max_bytes: int = 8192, max_rows: int = 8192) -> ContextTrees | None:
     """Context trees of the languages in ``labelled`` (doc_id, text, lang); None without any text.
 
-    What reaches the driver is counts over the sample: at most ``sample_docs`` times
-    ``max_bytes`` for each language.
+    What reaches the driver is counts over the sample of at most ``sample_docs`` texts a
+    language: no more rows than different contexts of three bytes and bytes in them.
     """
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     got = gram_counts(bounded_sample(usable, sample_docs, max_bytes)).toArrow()
@@ -222,9 +228,10 @@ def keep_known(docs: DataFrame, min_score: float = 0.5, folds: int = 3, held_out
     at = docs.columns.index("text")
 
     def keep(batches):
-        for batch in batches:
+        forget_others(__name__)
+        for batch in slices(batches, "text", 1 << 20):
             model, texts = shared.value, batch.column(at)
-            if model is None or not batch.num_rows:
+            if model is None:
                 continue
             bits = model.code_lengths(texts)
             share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)

@@ -80,6 +80,14 @@ def test_one_of_each_class_is_kept(messy, rows, nothing):
     assert bagminhash.keep_one(nothing).count() == 0
 
 
+def test_rows_of_one_id_are_kept_by_their_texts(spark):
+    x, y = "one two three four five six seven eight", "other words that nobody else has written here today"
+    rows = [(1, x, "a"), (5, x, "b"), (5, y, "c"), (5, y, "c"), (7, y, "d"), (None, x, "e"), (9, None, "f"), (9, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string")
+    kept = Counter(tuple(r) for r in bagminhash.keep_one(docs).collect())
+    assert kept == Counter([rows[0], rows[2], rows[5], rows[6], rows[7]])
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     a = {int(k): int(rng.integers(1, 30)) for k in rng.integers(0, 10**9, 50)}

@@ -114,6 +114,18 @@ def test_language_is_learned_and_held_out_rows_are_recognised(spark, messy, noth
     assert ppm_language.keep_known(nothing).count() == 0
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    import random
+
+    rng = random.Random(2)
+    short = [(i, prose(rng, "de", 40), "de") for i in range(30)]
+    long = [(100 + i, prose(rng, "en", 2500), "en") for i in range(30)]
+    docs = spark.createDataFrame(short + long, "doc_id long, text string, lang string")
+    for _ in range(2):
+        found = {r.doc_id: r.lang_pred for r in ppm_language.language_id(docs).collect()}
+        assert all(found[i] == lang for i, _, lang in short + long)
+
+
 def test_context_trees_are_distributions():
     import numpy as np
 
