@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import is_violation, normal_quantile, var_from_quantile
 from ..operators.blocked import with_window_columns
+from ..operators.expanding import expanding_quantile
 from .historical import window_quantile
 from .ewma import ewma_path
 
@@ -17,7 +18,13 @@ Forecaster = Callable[[WindowSpec], Column]
 
 
 def empirical_quantile(alpha: float = 0.05) -> Forecaster:
-    return lambda frame: F.percentile("ret", F.lit(alpha)).over(frame)
+    """Linear quantile of the frame; its ``alpha`` lets an expanding run take it from order statistics."""
+
+    def forecast(frame: WindowSpec) -> Column:
+        return F.percentile("ret", F.lit(alpha)).over(frame)
+
+    forecast.alpha = alpha
+    return forecast
 
 
 def normal_moments(alpha: float = 0.05) -> Forecaster:
@@ -41,12 +48,19 @@ def walk_forward(returns: DataFrame, forecaster: Forecaster, window: int = 250,
     """Forecast each session from strictly earlier returns.
 
     rolling: the last ``window`` sessions; expanding: all earlier sessions, from
-    ``window`` on.  A rolling run can be cut into halo chunks with ``block``.
+    ``window`` on.  A rolling run can be cut into halo chunks with ``block``, and so
+    can an expanding run of :func:`empirical_quantile` (see :mod:`..operators.expanding`);
+    another forecaster needs all of its past.
     """
     if mode not in ("rolling", "expanding"):
         raise ValueError("mode must be rolling or expanding")
     if mode == "expanding" and block is not None:
-        raise ValueError("an expanding frame cannot be cut into chunks")
+        if not hasattr(forecaster, "alpha"):
+            raise ValueError("an expanding frame of this forecaster cannot be cut into chunks")
+        past = with_window_columns(returns, lambda w: {"as_of": F.lag("date").over(w)}, 1, block=block)
+        starts = returns.groupBy("series_id").agg(F.min("date").alias("train_start"))
+        found = expanding_quantile(past, forecaster.alpha, window, block).withColumnRenamed("seen", "train_rows")
+        return as_predictions(found.join(starts, "series_id"), "as_of", "train_start", "train_rows")
 
     def build(w: WindowSpec) -> dict[str, Column]:
         start = -window if mode == "rolling" else Window.unboundedPreceding

@@ -17,6 +17,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SLICE_DAYS = 1024
 
 
@@ -59,6 +61,28 @@ def number_sessions(
     )
 
 
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """Add the 0-based place of a row among the rows of its keys in ``order``, whatever the columns.
+
+    The rows are written in range partitions of keys and order; a partition numbers
+    its own rows and one summary row per (keys, partition) carries what came before,
+    so a key that holds any share of the rows is spread over many tasks.  Rows that
+    tie get places in no stated order.
+    """
+    ranged = materialize(
+        df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "numbered-rows"
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts.select(*keys, "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    here = Window.partitionBy(*keys, "_part").orderBy(*order)
+    return (
+        ranged.join(before, [*keys, "_part"])
+        .withColumn(name, F.col("_before") + F.row_number().over(here) - 1)
+        .drop("_part", "_before")
+    )
+
+
 def with_window_columns(
     df: DataFrame,
     build: Callable[[WindowSpec], dict[str, Column]],

@@ -110,9 +110,13 @@ def portfolio_log_return(portfolio: DataFrame, value: str = "portfolio_simple_re
 def build_portfolio(bars: DataFrame, tickers: int) -> DataFrame:
     """Equal-weight portfolio of a panel on one calendar.
 
-    A session that some ticker misses is refused, because the next return would
-    span the gap; so is a portfolio return of -1 or less, which has no logarithm.
+    A bar that repeats is refused, because it would add a return of zero; so is a
+    session that some ticker misses, because the next return would span the gap; and
+    a portfolio return of -1 or less, which has no logarithm.
     """
+    again = bars.groupBy("ticker", "date").count().filter("count > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"{again[0]['count']} bars of {again[0]['ticker']} on {again[0]['date']}")
     gap = calendar_mismatch(bars, tickers).limit(1).collect()
     if gap:
         raise ValueError(f"calendars differ on {gap[0]['date']}: {gap[0]['tickers']} of {tickers} tickers")

@@ -32,8 +32,8 @@ WEIGHTS = [("ALL", t, 3) for t in TICKERS] + [(t, t, 1) for t in TICKERS]
 # Session position in the index and gap in points of the reviewed anomalies.
 ANOMALIES = [(10, 5.0), (20, 7.5), (30, 2.25)]
 # The boosted model of the three-method tables: short and rarely refit, because SQL repeats it in every query that needs it.
-THREE = Candidate(stages=20, learning_rate=0.1, max_depth=2, min_leaf=5)
-FIRST, REFIT_EVERY = 250, 500
+THREE = Candidate(stages=8, learning_rate=0.2, max_depth=2, min_leaf=5)
+FIRST, REFIT_EVERY = 250, 1000
 
 
 class Tables:

@@ -102,6 +102,16 @@ def _(t: Tables):
     return walk_forward(t.portfolio, normal_moments(), 250, "expanding")
 
 
+@query("walk_forward_expanding_quantile", "port", f"""
+  SELECT series_id, e AS as_of, s AS train_start, n AS train_rows, date AS target_date, ret AS actual_return,
+    q AS quantile_return, greatest(0, -q) AS var, ret < q AS violation
+  FROM (SELECT *, min(date) OVER w AS s, max(date) OVER w AS e, count(ret) OVER w AS n, quantile_cont(ret, 0.05) OVER w AS q
+    FROM port WINDOW w AS ({OF_SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n >= 250
+""", "actual_return quantile_return var")
+def _(t: Tables):
+    return walk_forward(t.portfolio, empirical_quantile(), 250, "expanding", block=256)
+
+
 @query("walk_forward_python", "port", f"""
   SELECT series_id, e AS as_of, s AS train_start, n AS train_rows, date AS target_date, ret AS actual_return,
     q AS quantile_return, greatest(0, -q) AS var, ret < q AS violation

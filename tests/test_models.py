@@ -192,3 +192,17 @@ def test_refits_predict_every_later_session_once(spark, features):
     rows = out.collect()
     assert len(rows) == 2 * 140 and len({(r.series_id, r.target_date) for r in rows}) == len(rows)
     assert {r.refit for r in rows} == {"0", "1", "2"}
+
+
+@pytest.mark.parametrize("block", [7, 64, 4096])
+@pytest.mark.parametrize("alpha", [0.05, 0.5, 0.95])
+def test_expanding_quantiles_in_blocks_equal_sorting_the_past(spark, series, block, alpha):
+    spread = series.withColumn("ret", F.when(F.col("series_id") == "Q", F.round("ret", 2)).otherwise(F.col("ret")))  # with ties
+    got = {(r.series_id, r.target_date): r for r in walk_forward(spread, empirical_quantile(alpha), 30, "expanding", block=block).collect()}
+    want = {(r.series_id, r.target_date): r for r in walk_forward(spread, empirical_quantile(alpha), 30, "expanding").collect()}
+    assert got.keys() == want.keys() and len(got) > 150
+    for k, r in want.items():
+        assert (got[k].as_of, got[k].train_start, got[k].train_rows) == (r.as_of, r.train_start, r.train_rows)
+        assert got[k].quantile_return == pytest.approx(r.quantile_return, abs=1e-15)
+    with pytest.raises(ValueError, match="cut into chunks"):
+        walk_forward(series, python_forecaster(lambda v: 0.0), 30, "expanding", block=16)
