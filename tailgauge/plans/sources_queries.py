@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources.bars import OHLCV, read_market_snapshot, read_ohlcv_csv, scan_panel
 from ..sources.predictions import PREDICTION_FILE, read_predictions
 from ..sources.registry import get_forecast, judge_forecasts, register_forecasts
-from ..sources.sinks import snapshot_manifest, write_prediction_set, write_snapshot
+from ..sources.sinks import fingerprint_sql, snapshot_manifest, write_prediction_set, write_snapshot
 from ..streaming.sessions import SessionStore, ingest_sessions_stream
 from .catalog import query
 from .fixtures import CUTOFF, SPLIT, TICKERS, Tables
@@ -85,20 +85,24 @@ def _(t: Tables):
     return result
 
 
-@query("snapshot_manifest", "bars rets", """
-  SELECT ticker AS entry, count(*) AS rows, max(date) AS last_date, count(*) FILTER (abs(c) > 0.15) AS extreme_moves_flagged
-  FROM (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS c FROM bars) GROUP BY 1
-  UNION ALL SELECT 'portfolio', count(DISTINCT date), max(date), 0 FROM rets
-""")
+MANIFEST = """SELECT ticker AS entry, count(*) AS rows, max(date) AS last_date,
+    count(*) FILTER (abs(c) > 0.15) AS extreme_moves_flagged{bars}
+  FROM (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS c FROM bars) GROUP BY 1
+  UNION ALL SELECT 'portfolio/' || series_id, count(*), max(date), 0{port} FROM port GROUP BY 1"""
+BAR_KINDS = {"ticker": "text", "date": "text"} | {c: "double" for c in OHLCV}
+PORT_KINDS = {"series_id": "text", "date": "text", "ret": "double"}
+
+
+@query("snapshot_manifest", "bars port", MANIFEST.format(bars="", port=""))
 def _(t: Tables):
-    whole = t.portfolio.filter(F.col("series_id") == "ALL")
-    return snapshot_manifest(t.bars, whole).drop("content")
+    return snapshot_manifest(t.bars, t.portfolio).drop("content")
 
 
-@query("snapshot_fingerprint")
+@query("snapshot_fingerprint", "bars port", MANIFEST.format(
+    bars=f", {fingerprint_sql(BAR_KINDS)} AS content", port=f", {fingerprint_sql(PORT_KINDS)}"))
 def _(t: Tables):
-    whole = t.portfolio.filter(F.col("series_id") == "ALL")
-    return snapshot_manifest(t.bars, whole)
+    bars = t.bars.select(*BAR_KINDS)
+    return snapshot_manifest(bars, t.portfolio.select(*PORT_KINDS))
 
 
 def forecast_rows(t: Tables) -> DataFrame:

@@ -25,6 +25,7 @@ def rules() -> dict[str, Column]:
     """Name and condition of every rule a registered row must meet."""
     made_on = F.to_date(F.from_utc_timestamp("generated_at", EXCHANGE_ZONE))
     return {
+        "identity": F.trim("forecast_id") != "",
         "labels": (F.trim("model_name") != "") & (F.trim("model_version") != "") & (F.trim("feature_version") != ""),
         "chronology": (F.col("training_start") <= F.col("training_end"))
         & (F.col("training_end") <= F.col("data_as_of_date"))
@@ -36,12 +37,40 @@ def rules() -> dict[str, Column]:
     }
 
 
+def first_come(rows: DataFrame) -> DataFrame:
+    """The ``_row`` of every row that a registration one by one, by id and key, would accept.
+
+    A row is accepted if no accepted row before it has its key or its id.  All rows
+    that are the first of both their groups are accepted together; what shares a key
+    or an id with them goes, and the rest is looked at again.  Groups are minima, so
+    one key or id may hold any number of rows.
+    """
+    place = F.struct("forecast_id", *KEY, "_row")
+    rest = rows.select("forecast_id", *KEY, "_row")
+    accepted = rest.select("_row").limit(0)
+    while not rest.isEmpty():
+        of_key = rest.groupBy(*KEY).agg(F.min(place).alias("_of_key"))
+        of_id = rest.groupBy("forecast_id").agg(F.min(place).alias("_of_id"))
+        ahead = materialize(
+            rest.join(of_key, KEY).join(of_id, "forecast_id")
+            .filter((place == F.col("_of_key")) & (place == F.col("_of_id")))
+            .select("forecast_id", *KEY, "_row"),
+            "registry-accepted",
+        )
+        accepted = accepted.unionByName(ahead.select("_row"))
+        rest = materialize(
+            rest.join(ahead.select(*KEY), KEY, "left_anti").join(ahead.select("forecast_id"), "forecast_id", "left_anti"),
+            "registry-rest",
+        )
+    return accepted
+
+
 def judge_forecasts(registry: DataFrame | None, new: DataFrame) -> DataFrame:
     """New rows with ``rejected_for``: the first broken rule, a repeated key or id, or NULL when acceptable.
 
     The batch is written once with row numbers, so of equal rows exactly one is
-    accepted.  Copies inside it are found by aggregation, copies of stored keys and
-    ids by one join each.
+    accepted.  Rows of stored keys and ids go by one join each, then copies inside
+    the batch (:func:`first_come`); a row whose only rival is itself rejected stays.
     """
     reason = F.lit(None).cast("string")
     for name, condition in reversed(list(rules().items())):
@@ -59,24 +88,22 @@ def judge_forecasts(registry: DataFrame | None, new: DataFrame) -> DataFrame:
     ).withColumn("_rule", reason)
     judged = materialize(judged.withColumn("_row", F.monotonically_increasing_id()), "judged")
     good = judged.filter(F.col("_rule").isNull())
-    # of rows that share a key, and of rows that share an id, the one of the least id stays
-    first = good.groupBy(*KEY).agg(F.min(F.struct("forecast_id", "_row"))["_row"].alias("_first"))
-    named = good.groupBy("forecast_id").agg(F.min("_row").alias("_named"))
-    judged = judged.join(first, KEY, "left").join(named, "forecast_id", "left")
-    duplicate = (F.col("_first") != F.col("_row")) | (F.col("_named") != F.col("_row"))
     if registry is not None:
-        keys = registry.select(*KEY, F.lit(True).alias("_stored")).distinct()
-        ids = registry.select("forecast_id", F.lit(True).alias("_known")).distinct()
-        judged = judged.join(keys, KEY, "left").join(ids, "forecast_id", "left")
-        duplicate = duplicate | F.coalesce(F.col("_stored"), F.col("_known"), F.lit(False))
-    return judged.select(
+        good = good.join(registry.select(*KEY).distinct(), KEY, "left_anti")
+        good = good.join(registry.select("forecast_id").distinct(), "forecast_id", "left_anti")
+    accepted = first_come(good).withColumn("_accepted", F.lit(True))
+    return judged.join(accepted, "_row", "left").select(
         *COLUMNS,
-        F.coalesce(F.col("_rule"), F.when(duplicate, F.lit("duplicate_key"))).alias("rejected_for"),
+        F.coalesce(F.col("_rule"), F.when(F.col("_accepted").isNull(), F.lit("duplicate_key"))).alias("rejected_for"),
     )
 
 
 def register_forecasts(spark: SparkSession, path: str, new: DataFrame, rejects: str | None = None) -> DataFrame:
-    """Append the acceptable rows; rejected ones go to a side table, or raise without one."""
+    """Append the acceptable rows; rejected ones go to a side table, or raise without one.
+
+    The append of the accepted rows comes last and is the commit: a batch that fails
+    before it can be registered again and loses nothing; its rejects are then logged twice.
+    """
     try:
         registry = spark.read.parquet(path)
     except Exception as error:  # the first registration finds no table
@@ -89,9 +116,9 @@ def register_forecasts(spark: SparkSession, path: str, new: DataFrame, rejects:
         found = refused.limit(1).collect()
         if found:
             raise ValueError(f"forecast {found[0]['forecast_id']} rejected for {found[0]['rejected_for']}")
-    judged.filter(F.col("rejected_for").isNull()).drop("rejected_for").write.mode("append").parquet(path)
     if rejects is not None:
         refused.write.mode("append").parquet(rejects)
+    judged.filter(F.col("rejected_for").isNull()).drop("rejected_for").write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -4,13 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType
 
+from .commits import CommitLog
 
-def fingerprint(columns: Sequence[str]):
-    """Order-independent content hash of a group of rows: equal rows cancel only in pairs, so counts go with it."""
-    return F.bit_xor(F.xxhash64(*[F.col(c) for c in columns]))
+
+def content_check(columns: Sequence[str]) -> Column:
+    """Order-independent sum of row hashes: a repeated row counts as often as it occurs."""
+    return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(20,0)"))
+
+
+def canonical(name: str, kind: DataType, digits: int) -> Column:
+    """A value as text that other engines can print too; its length goes with it, NULL is ``~``."""
+    value = F.col(f"`{name}`")
+    if isinstance(kind, (DoubleType, FloatType)):
+        text = F.format_string(f"%.{digits - 1}e", value.cast("double") + F.lit(0.0))
+    else:
+        text = value.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+
+
+def fingerprint(df: DataFrame, columns: Sequence[str], digits: int = 10) -> Column:
+    """Content of a group of rows, whatever their order: sums of both halves of the rows' md5 digests.
+
+    Equal rows add up instead of cancelling.  Floating columns count with ``digits``
+    significant digits, so that engines whose last bits differ agree; the SQL form is
+    :func:`fingerprint_sql`.
+    """
+    digest = F.md5(F.concat_ws("|", *[canonical(c, df.schema[c].dataType, digits) for c in columns]))
+    half = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 17)]
+    return F.concat_ws("-", *half)
+
+
+def fingerprint_sql(columns: Mapping[str, str], digits: int = 10) -> str:
+    """The same in SQL; ``columns`` maps names to ``double`` or ``text``."""
+    texts = {
+        c: f"printf('%.{digits - 1}e', {c} + 0e0)" if kind == "double" else f"CAST({c} AS VARCHAR)" for c, kind in columns.items()
+    }
+    parts = ", ".join(f"coalesce(length({t}) || ':' || {t}, '~')" for t in texts.values())
+    half = [f"CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {parts})), {at}, 15) AS HUGEINT)) AS VARCHAR)" for at in (1, 17)]
+    return f"{half[0]} || '-' || {half[1]}"
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -18,7 +53,7 @@ def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
 
     The job commit publishes all files at once; an existing path is an error.
     """
-    seen = [F.count(F.lit(1)).alias("rows"), fingerprint(df.columns).alias("content")]
+    seen = [F.count(F.lit(1)).alias("rows"), content_check(df.columns).alias("content")]
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -31,19 +66,40 @@ def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
 
 def write_prediction_set(tables: Mapping[str, DataFrame], directory: str,
                          partition_by: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
-    """Write the named tables of one run below one new directory.
+    """Write the named tables of one run below one new directory; one commit makes them visible together.
 
-    Call it after every check has passed: guards run before the first write.
+    Call it after every check has passed: guards run before the first write.  A
+    directory that has a commit is an error.
     """
     layout = partition_by or {}
+    directory = directory.rstrip("/")
+    if not tables:
+        raise ValueError("a prediction set needs a table")
+    log = CommitLog(next(iter(tables.values())).sparkSession, directory)
+    if log.versions():
+        raise ValueError(f"{directory} already exists as a published set")
     stored = {}
     for name, table in tables.items():
-        stored[name] = write_snapshot(table, f"{directory.rstrip('/')}/{name}", layout.get(name, ()))
+        stored[name] = write_snapshot(table, f"{directory}/{name}", layout.get(name, ()))
+    log.publish({name: {"path": f"{directory}/{name}", "schema": table.schema.jsonValue()} for name, table in stored.items()})
     return stored
 
 
+def read_prediction_set(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+    """The tables of a published set; a set whose commit is missing was not finished and is an error."""
+    from pyspark.sql.types import StructType
+
+    found = CommitLog(spark, directory).read()
+    if found is None:
+        raise LookupError(f"{directory} is not a published set")
+    return {name: spark.read.schema(StructType.fromJson(x["schema"])).parquet(x["path"]) for name, x in found.items()}
+
+
 def snapshot_manifest(bars: DataFrame, portfolio: DataFrame, threshold: float = 0.15) -> DataFrame:
-    """Rows, last date, extreme moves and content hash per symbol, plus one portfolio row."""
+    """Rows, last date, extreme moves and content per symbol, plus a row for each portfolio series.
+
+    Without a ``series_id`` the portfolio is one row named ``portfolio``, else ``portfolio/<series>``.
+    """
     from ..operators.returns import simple_return
 
     moves = simple_return(bars)
@@ -51,12 +107,13 @@ def snapshot_manifest(bars: DataFrame, portfolio: DataFrame, threshold: float =
         F.count(F.lit(1)).alias("rows"),
         F.max("date").alias("last_date"),
         F.count_if(F.abs("simple_return") > threshold).alias("extreme_moves_flagged"),
-        fingerprint(bars.columns).alias("content"),
+        fingerprint(bars, bars.columns).alias("content"),
     )
-    total = portfolio.agg(
+    named = F.concat(F.lit("portfolio/"), F.col("series_id")) if "series_id" in portfolio.columns else F.lit("portfolio")
+    totals = portfolio.withColumn("entry", named).groupBy("entry").agg(
         F.count(F.lit(1)).alias("rows"),
         F.max("date").alias("last_date"),
         F.lit(0).cast("long").alias("extreme_moves_flagged"),
-        fingerprint(portfolio.columns).alias("content"),
-    ).withColumn("entry", F.lit("portfolio"))
-    return symbols.unionByName(total)
+        fingerprint(portfolio, portfolio.columns).alias("content"),
+    )
+    return symbols.unionByName(totals)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +14,19 @@ from ..operators.cleaning import freshness_check, strict_normalize
 from ..operators.returns import build_portfolio
 from ..session import materialize
 from ..sources.bars import BAR_COLUMNS
+from ..sources.commits import CommitLog
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in BAR_COLUMNS])
 BATCH = "batch_id"
 
 
 class SessionStore:
-    """Bars and portfolio returns below one shared folder, one partition per ingested batch.
+    """Bars and portfolio returns below one shared folder, one folder of each per ingested batch.
 
-    A batch writes only its own partition and replaces it when the engine runs
-    the same batch again, so a repeated or half-written batch leaves no copies.
+    Folders are written once under fresh names; a commit file names those that count
+    and makes the bars and the portfolio of a batch visible in one step.  A repeated
+    batch takes the place of its former self, a failed one leaves nothing visible.
+    Commits hold the last date of every folder, so old ones are not read for new sessions.
     """
 
     def __init__(self, spark: SparkSession, root: str, tickers: int, max_age: int = 4,
@@ -33,38 +36,53 @@ class SessionStore:
         self.tickers = tickers
         self.max_age = max_age
         self.as_of = as_of
+        self.log = CommitLog(spark, self.root)
 
-    @property
-    def bars_path(self) -> str:
-        return f"{self.root}/bars"
+    def _read(self, entries: dict[str, dict], schema: str) -> DataFrame:
+        schema = f"{schema}, {BATCH} long"
+        if not entries:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[x["path"] for x in entries.values()])
 
-    @property
-    def portfolio_path(self) -> str:
-        return f"{self.root}/portfolio"
+    def _entries(self, table: str) -> dict[str, dict]:
+        return (self.log.read() or {}).get(table, {})
 
-    def bars(self, before_batch: int | None = None) -> DataFrame:
-        """Stored bars, without those of the given and later batches."""
+    def bars(self, before_batch: int | None = None, since: date | None = None) -> DataFrame:
+        """Stored bars, without those of the given and later batches; with ``since`` only from that date on."""
         schema = "ticker string, date date, open double, high double, low double, close double, volume double"
-        stored = self.spark.read.schema(f"{schema}, {BATCH} long").parquet(self.bars_path)
+        entries = self._entries("bars")
         if before_batch is not None:
-            stored = stored.filter(F.col(BATCH) < before_batch)
-        return stored.select(*BAR_COLUMNS)
+            entries = {b: x for b, x in entries.items() if int(b) < before_batch}
+        if since is not None:
+            entries = {b: x for b, x in entries.items() if x["last"] >= since.isoformat()}
+        stored = self._read(entries, schema).select(*BAR_COLUMNS)
+        return stored if since is None else stored.filter(F.col("date") >= F.lit(since))
 
     def portfolio(self) -> DataFrame:
         """The latest return of each session: a late session changes the return of the one after it."""
         schema = "date date, portfolio_simple_return double, portfolio_log_return double"
-        stored = self.spark.read.schema(f"{schema}, {BATCH} long").parquet(self.portfolio_path)
+        stored = self._read(self._entries("portfolio"), schema)
         return stored.groupBy("date").agg(
             *[F.max_by(c, BATCH).alias(c) for c in ("portfolio_simple_return", "portfolio_log_return")]
         )
 
-    def _replace(self, rows: DataFrame, path: str, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
+    def _write(self, rows: DataFrame, table: str, batch: int) -> tuple[DataFrame, dict]:
+        path = self.log.fresh_folder(f"{table}/{BATCH}={batch}".replace("=", "-"))
+        rows.withColumn(BATCH, F.lit(batch).cast("long")).write.mode("errorifexists").parquet(path)
+        stored = self.spark.read.parquet(path)
+        last = stored.agg(F.max("date")).first()[0]
+        return stored.drop(BATCH), {"path": path, "last": last.isoformat() if last else ""}
+
+    def _publish(self, batch: int, **folders: dict) -> None:
+        """One commit for all tables of a batch."""
+        now = self.log.read() or {}
+        self.log.publish({table: now.get(table, {}) | {str(batch): entry} for table, entry in folders.items()})
 
     def seed(self, bars: DataFrame) -> None:
         """Start the store from a checked history (batch -1)."""
-        self._replace(bars.select(*BAR_COLUMNS), self.bars_path, -1)
-        self._replace(build_portfolio(self.bars(), self.tickers), self.portfolio_path, -1)
+        stored, entry = self._write(bars.select(*BAR_COLUMNS), "bars", -1)
+        _, total = self._write(build_portfolio(stored, self.tickers), "portfolio", -1)
+        self._publish(-1, bars=entry, portfolio=total)
 
     def ingest(self, raw: DataFrame, batch: int) -> None:
         """Strict clean, revision check, calendar and freshness gates; then append.
@@ -89,8 +107,7 @@ class SessionStore:
             raise ValueError(f"session {seen['last']} is not finished at the cutoff {seen['cutoff']}")
         cutoff = F.lit(seen["cutoff"])
         incoming = materialize(strict_normalize(raw, cutoff), "sessions-incoming")
-        stored = self.bars(before_batch=batch)
-        overlap = stored.filter(F.col("date") >= F.lit(seen["first"]))
+        overlap = self.bars(before_batch=batch, since=seen["first"])
         revised = revised_rows(overlap, incoming).select("ticker", "field").limit(1).collect()
         if revised:
             raise ValueError(f"{revised[0]['ticker']}: the batch changes {revised[0]['field']} of a stored session")
@@ -106,10 +123,11 @@ class SessionStore:
         if earliest is None:
             return
         # the session before the earliest new one gives its return; later stored sessions are rebuilt with it
-        base = stored.filter(F.col("date") < F.lit(earliest)).agg(F.max("date").alias("d")).first()["d"]
-        self._replace(fresh, self.bars_path, batch)
-        recent = self.bars(before_batch=batch + 1).filter(F.col("date") >= F.lit(base or earliest))
-        self._replace(build_portfolio(recent, self.tickers), self.portfolio_path, batch)
+        base = self.bars(before_batch=batch).filter(F.col("date") < F.lit(earliest)).agg(F.max("date").alias("d")).first()["d"]
+        written, entry = self._write(fresh, "bars", batch)
+        recent = self.bars(before_batch=batch, since=base or earliest).unionByName(written.select(*BAR_COLUMNS))
+        _, total = self._write(build_portfolio(recent, self.tickers), "portfolio", batch)
+        self._publish(batch, bars=entry, portfolio=total)
 
 
 def ingest_sessions_stream(store: SessionStore, source: str, checkpoint: str, files_per_batch: int = 1) -> int:

@@ -7,7 +7,8 @@ from tailgauge.session import scratch_path
 from tailgauge.sources.bars import packed_order, read_market_snapshot, read_ohlcv_csv, scan_panel, tick_bars
 from tailgauge.sources.predictions import read_predictions
 from tailgauge.sources.registry import get_forecast, judge_forecasts, register_forecasts
-from tailgauge.sources.sinks import snapshot_manifest, write_prediction_set, write_snapshot
+from tailgauge.sources.commits import CommitLog
+from tailgauge.sources.sinks import read_prediction_set, snapshot_manifest, write_prediction_set, write_snapshot
 from tailgauge.streaming.sessions import SessionStore, ingest_sessions_stream
 
 FORECAST = (
@@ -246,3 +247,95 @@ def test_written_tables_can_be_discarded(spark):
     folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
     discard(table)
     assert not __import__("os").path.exists(folder)
+
+
+def test_a_row_is_lost_only_to_an_accepted_rival(spark):
+    cases = [("A", "K1"), ("A", "K2"), ("B", "K2"), ("C", "K2"), ("C", "K3"), ("C", "K3"), ("D", "K1"), ("E", "K4")]
+    batch = forecasts(spark, *[{"forecast_id": i, "model_name": k} for i, k in cases]).repartition(3)
+    got = sorted((r.forecast_id, r.model_name) for r in judge_forecasts(None, batch).filter("rejected_for IS NULL").collect())
+    assert got == [("A", "K1"), ("B", "K2"), ("C", "K3"), ("E", "K4")]
+    stored = forecasts(spark, {"forecast_id": "B", "model_name": "K9"})
+    got = sorted((r.forecast_id, r.model_name) for r in judge_forecasts(stored, batch).filter("rejected_for IS NULL").collect())
+    assert got == [("A", "K1"), ("C", "K2"), ("E", "K4")]  # B is known, so C gets K2 and has no other
+
+
+def test_forecasts_need_an_id(spark):
+    rows = forecasts(spark, {"forecast_id": None}, {"forecast_id": None, "model_name": "k"}, {"forecast_id": " ", "model_name": "l"})
+    assert [r.rejected_for for r in judge_forecasts(None, rows).collect()] == ["identity"] * 3
+
+
+def test_a_batch_that_fails_before_its_commit_can_be_repeated(spark, monkeypatch):
+    path, rejects = scratch_path(spark, "registry"), scratch_path(spark, "rejects")
+    batch = forecasts(spark, {}, {"model_name": " "})
+    writer = type(batch.write)
+    plain = writer.parquet
+
+    def failing(self, target, *args, **kwargs):
+        if target == path:
+            raise OSError("disk")
+        return plain(self, target, *args, **kwargs)
+
+    monkeypatch.setattr(writer, "parquet", failing)
+    with pytest.raises(OSError):
+        register_forecasts(spark, path, batch, rejects)
+    monkeypatch.setattr(writer, "parquet", plain)
+    assert [r.forecast_id for r in register_forecasts(spark, path, batch, rejects).collect()] == ["f0"]
+
+
+def test_fingerprint_counts_repeated_rows(spark, panel):
+    total = panel.select("date", F.col("close").alias("ret"))
+    key = lambda d: {r.entry: r.content for r in snapshot_manifest(d, total).collect()}
+    one = panel.filter("ticker = 'AAA' AND date = '2020-01-08'")
+    assert len({key(panel)["AAA"], key(panel.unionByName(one))["AAA"], key(panel.unionByName(one).unionByName(one))["AAA"]}) == 3
+    gone = panel.withColumn("open", F.when(F.col("date") != "2020-01-08", F.col("open")))
+    assert key(gone)["BBB"] != key(panel)["BBB"]
+
+
+def test_a_set_is_visible_whole_or_not_at_all(spark, panel):
+    where = scratch_path(spark, "set")
+    write_snapshot(panel, f"{where}/bars")  # what a run that failed half-way leaves
+    with pytest.raises(LookupError):
+        read_prediction_set(spark, where)
+    where = scratch_path(spark, "set")
+    write_prediction_set({"bars": panel, "few": panel.limit(3)}, where, {"bars": ["ticker"]})
+    found = read_prediction_set(spark, where)
+    assert found["bars"].count() == 120 and found["few"].count() == 3 and found["bars"].exceptAll(panel.select(found["bars"].columns)).isEmpty()
+    with pytest.raises(ValueError, match="already"):
+        write_prediction_set({"bars": panel}, where)
+
+
+def test_commits_are_numbered_and_never_replaced(spark):
+    log = CommitLog(spark, scratch_path(spark, "log"))
+    assert log.read() is None and [log.publish({"a": 1}), log.publish({"a": 2})] == [1, 2]
+    assert log.read() == {"a": 2} and log.read(1) == {"a": 1}
+    late = CommitLog(spark, log.root)
+    late.versions = lambda: [1]  # a writer that has not seen the second commit
+    with pytest.raises(RuntimeError, match="someone else"):
+        late.publish({"a": 3})
+    assert log.read() == {"a": 2}
+
+
+def test_bars_and_portfolio_appear_together(panel, store, monkeypatch):
+    rows = as_text(panel.filter(F.col("date").between("2020-02-10", "2020-02-14")))
+    before = (store.bars().count(), store.portfolio().count())
+    import tailgauge.streaming.sessions as module
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(module, "build_portfolio", broken)
+        with pytest.raises(OSError):
+            store.ingest(rows, 0)
+    assert (store.bars().count(), store.portfolio().count()) == before
+    store.ingest(rows, 0)
+    assert store.bars().agg(F.max("date").cast("string")).first()[0] == "2020-02-14"
+    assert store.portfolio().agg(F.max("date").cast("string")).first()[0] == "2020-02-14"
+    assert store.bars(since=date(2020, 2, 10)).inputFiles() and all("batch_id-0" in f for f in store.bars(since=date(2020, 2, 10)).inputFiles())
+
+
+def test_a_repeated_bar_is_refused(panel):
+    from tailgauge.operators.returns import build_portfolio
+
+    with pytest.raises(ValueError, match="2 bars of AAA on 2020-01-08"):
+        build_portfolio(panel.unionByName(panel.filter("ticker = 'AAA' AND date = '2020-01-08'")), 3)
