@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import describe as D
+from ..operators.correlation import correlation_blocks
 from ..operators.returns import both_returns, return_matrix
 from .catalog import query
 from .fixtures import TICKERS, Tables
@@ -84,6 +85,22 @@ def _(t: Tables):
     return D.correlation_matrix(wide, [*TICKERS, "ALL"])
 
 
+@query("correlation_blocks", "", """
+  WITH m AS (SELECT CAST(l_suppkey AS VARCHAR) AS s, date_trunc('quarter', CAST(l_shipdate AS DATE)) AS d,
+      avg(l_extendedprice / l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+    whole AS (SELECT d FROM m GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT s) FROM m)),
+    c AS (SELECT * FROM m JOIN whole USING (d))
+  SELECT a.s AS "left", b.s AS "right", CASE WHEN a.s = b.s THEN 1 ELSE corr(a.v, b.v) END AS correlation
+  FROM c a JOIN c b ON a.d = b.d GROUP BY 1, 2
+""", "correlation")
+def _(t: Tables):
+    """Every pair of suppliers by their mean unit price in each quarter."""
+    prices = t.source("lineitem").groupBy(
+        F.col("l_suppkey").cast("string").alias("ticker"), F.trunc(F.to_date("l_shipdate"), "quarter").alias("date")
+    ).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return correlation_blocks(prices, value="price", block=32)
+
+
 @query("rolling_vol_summary", "bars", """
   WITH r AS (SELECT ticker, date, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS r FROM bars),
     v AS (SELECT ticker, date, 20 AS "window", CASE WHEN count(r) OVER a = 20 THEN stddev_samp(r) OVER a END AS vol FROM r

@@ -11,6 +11,10 @@ from pyspark.sql.types import DataType, DoubleType, FloatType
 from .commits import CommitLog
 
 
+#: Significant digits that count: prices are read or divided once, returns are sums whose last bits vary.
+BAR_DIGITS, RETURN_DIGITS = 13, 10
+
+
 def content_check(columns: Sequence[str]) -> Column:
     """Order-independent sum of row hashes: a repeated row counts as often as it occurs."""
     return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(20,0)"))
@@ -26,7 +30,7 @@ def canonical(name: str, kind: DataType, digits: int) -> Column:
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str], digits: int = 10) -> Column:
+def fingerprint(df: DataFrame, columns: Sequence[str], digits: int = BAR_DIGITS) -> Column:
     """Content of a group of rows, whatever their order: sums of both halves of the rows' md5 digests.
 
     Equal rows add up instead of cancelling.  Floating columns count with ``digits``
@@ -38,7 +42,7 @@ def fingerprint(df: DataFrame, columns: Sequence[str], digits: int = 10) -> Colu
     return F.concat_ws("-", *half)
 
 
-def fingerprint_sql(columns: Mapping[str, str], digits: int = 10) -> str:
+def fingerprint_sql(columns: Mapping[str, str], digits: int = BAR_DIGITS) -> str:
     """The same in SQL; ``columns`` maps names to ``double`` or ``text``."""
     texts = {
         c: f"printf('%.{digits - 1}e', {c} + 0e0)" if kind == "double" else f"CAST({c} AS VARCHAR)" for c, kind in columns.items()
@@ -114,6 +118,6 @@ def snapshot_manifest(bars: DataFrame, portfolio: DataFrame, threshold: float =
         F.count(F.lit(1)).alias("rows"),
         F.max("date").alias("last_date"),
         F.lit(0).cast("long").alias("extreme_moves_flagged"),
-        fingerprint(portfolio, portfolio.columns).alias("content"),
+        fingerprint(portfolio, portfolio.columns, RETURN_DIGITS).alias("content"),
     )
     return symbols.unionByName(totals)

@@ -194,3 +194,27 @@ def test_sections_have_each_row_once(spark, series):
     assert len(rows) == 15
     short = D.sample_sections(series.filter("series_id = 'Q'").limit(7), 5).collect()
     assert len(short) == len({r.date for r in short}) == 7
+
+
+@pytest.mark.parametrize("block, sessions", [(256, 4096), (3, 5), (1, 1)])
+def test_correlation_by_blocks_equals_numpy(spark, block, sessions):
+    import numpy as np
+    from datetime import date, timedelta
+
+    from tailgauge.operators.correlation import correlation_blocks
+
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(40, 8)) @ rng.normal(size=(8, 8))
+    values[:, 7] = 1.5  # no variation
+    names = [f"T{i}" for i in range(8)]
+    rows = [(n, date(2020, 1, 1) + timedelta(days=d), float(values[d, i])) for i, n in enumerate(names) for d in range(40)]
+    rows = [r for r in rows if r[:2] != ("T3", date(2020, 1, 9))] + [("T3", date(2020, 1, 9), None)]  # that session goes
+    df = spark.createDataFrame(rows, "ticker string, date date, simple_return double").repartition(4)
+    got = {(r.left, r.right): r.correlation for r in correlation_blocks(df, block=block, sessions=sessions).collect()}
+    want = np.corrcoef(np.delete(values, 8, 0)[:, :7].T)
+    assert len(got) == 64 and all(got[a, "T7"] is None and got["T7", a] is None for a in names)
+    for i in range(7):
+        for j in range(7):
+            assert got[names[i], names[j]] == pytest.approx(want[i, j], abs=1e-12)
+    with pytest.raises(ValueError, match="has 2 values"):
+        correlation_blocks(df.unionByName(df.limit(1)))
