@@ -12,7 +12,7 @@ from .commits import CommitLog
 
 
 #: Significant digits that count: prices are read or divided once, returns are sums whose last bits vary.
-BAR_DIGITS, RETURN_DIGITS = 13, 10
+BAR_DIGITS, RETURN_DIGITS = 15, 10
 
 
 def content_check(columns: Sequence[str]) -> Column:
