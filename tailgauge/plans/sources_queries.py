@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources.bars import OHLCV, read_market_snapshot, read_ohlcv_csv, scan_panel
 from ..sources.predictions import PREDICTION_FILE, read_predictions
 from ..sources.registry import get_forecast, judge_forecasts, register_forecasts
-from ..sources.sinks import RETURN_DIGITS, fingerprint_sql, snapshot_manifest, write_prediction_set, write_snapshot
+from ..sources.sinks import RETURN_BITS, fingerprint_sql, snapshot_manifest, write_prediction_set, write_snapshot
 from ..streaming.sessions import SessionStore, ingest_sessions_stream
 from .catalog import query
 from .fixtures import CUTOFF, SPLIT, TICKERS, Tables
@@ -99,7 +99,7 @@ def _(t: Tables):
 
 
 @query("snapshot_fingerprint", "bars port", MANIFEST.format(
-    bars=f", {fingerprint_sql(BAR_KINDS)} AS content", port=f", {fingerprint_sql(PORT_KINDS, RETURN_DIGITS)}"))
+    bars=f", {fingerprint_sql(BAR_KINDS)} AS content", port=f", {fingerprint_sql(PORT_KINDS, RETURN_BITS)}"))
 def _(t: Tables):
     bars = t.bars.select(*BAR_KINDS)
     return snapshot_manifest(bars, t.portfolio.select(*PORT_KINDS))

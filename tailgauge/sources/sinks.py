@@ -11,8 +11,8 @@ from pyspark.sql.types import DataType, DoubleType, FloatType
 from .commits import CommitLog
 
 
-#: Significant digits that count: prices are read or divided once, returns are sums whose last bits vary.
-BAR_DIGITS, RETURN_DIGITS = 15, 10
+#: Binary places that count: a product with a power of two and its floor are exact in every engine.
+BAR_BITS, RETURN_BITS = 24, 30
 
 
 def content_check(columns: Sequence[str]) -> Column:
@@ -20,32 +20,32 @@ def content_check(columns: Sequence[str]) -> Column:
     return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(20,0)"))
 
 
-def canonical(name: str, kind: DataType, digits: int) -> Column:
+def canonical(name: str, kind: DataType, bits: int) -> Column:
     """A value as text that other engines can print too; its length goes with it, NULL is ``~``."""
     value = F.col(f"`{name}`")
     if isinstance(kind, (DoubleType, FloatType)):
-        text = F.format_string(f"%.{digits - 1}e", value.cast("double") + F.lit(0.0))
+        text = F.floor(value.cast("double") * 2.0**bits).cast("string")
     else:
         text = value.cast("string")
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str], digits: int = BAR_DIGITS) -> Column:
+def fingerprint(df: DataFrame, columns: Sequence[str], bits: int = BAR_BITS) -> Column:
     """Content of a group of rows, whatever their order: sums of both halves of the rows' md5 digests.
 
-    Equal rows add up instead of cancelling.  Floating columns count with ``digits``
-    significant digits, so that engines whose last bits differ agree; the SQL form is
-    :func:`fingerprint_sql`.
+    Equal rows add up instead of cancelling.  Floating columns count in steps of
+    2**-bits (up to 2**(63 - bits)), so that engines whose last bits differ agree; the
+    SQL form is :func:`fingerprint_sql`.
     """
-    digest = F.md5(F.concat_ws("|", *[canonical(c, df.schema[c].dataType, digits) for c in columns]))
+    digest = F.md5(F.concat_ws("|", *[canonical(c, df.schema[c].dataType, bits) for c in columns]))
     half = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 17)]
     return F.concat_ws("-", *half)
 
 
-def fingerprint_sql(columns: Mapping[str, str], digits: int = BAR_DIGITS) -> str:
+def fingerprint_sql(columns: Mapping[str, str], bits: int = BAR_BITS) -> str:
     """The same in SQL; ``columns`` maps names to ``double`` or ``text``."""
     texts = {
-        c: f"printf('%.{digits - 1}e', {c} + 0e0)" if kind == "double" else f"CAST({c} AS VARCHAR)" for c, kind in columns.items()
+        c: f"CAST(CAST(floor({c} * {2**bits}) AS BIGINT) AS VARCHAR)" if kind == "double" else f"CAST({c} AS VARCHAR)" for c, kind in columns.items()
     }
     parts = ", ".join(f"coalesce(length({t}) || ':' || {t}, '~')" for t in texts.values())
     half = [f"CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {parts})), {at}, 15) AS HUGEINT)) AS VARCHAR)" for at in (1, 17)]
@@ -118,6 +118,6 @@ def snapshot_manifest(bars: DataFrame, portfolio: DataFrame, threshold: float =
         F.count(F.lit(1)).alias("rows"),
         F.max("date").alias("last_date"),
         F.lit(0).cast("long").alias("extreme_moves_flagged"),
-        fingerprint(portfolio, portfolio.columns, RETURN_DIGITS).alias("content"),
+        fingerprint(portfolio, portfolio.columns, RETURN_BITS).alias("content"),
     )
     return symbols.unionByName(totals)
