@@ -173,7 +173,8 @@ def jensen_gap(returns: DataFrame, weights: DataFrame, tolerance: float = 1e-15)
         F.avg("gap").alias("mean_gap"),
         F.count_if(F.col("gap") < -tolerance).alias("negative_gaps"),
         F.count_if(F.abs("gap") <= tolerance).alias("near_zero_gaps"),
-        F.max_by("date", "gap").alias("maximum_gap_date"),
+        # gaps are equal up to rounding where nothing is diversified: then the first date counts
+        F.max_by("date", F.struct(F.round("gap", 12) + F.lit(0.0), -F.unix_date("date"))).alias("maximum_gap_date"),
     )
 
 
@@ -231,13 +232,12 @@ def price_drawdown(bars: DataFrame) -> DataFrame:
     return bars.select("ticker", "date", (F.col("close") / peak - 1.0).alias("drawdown"))
 
 
-def return_rebuild_check(bars: DataFrame, stored: DataFrame, tickers: int, tolerance: float = 1e-12) -> DataFrame:
-    """Portfolio returns rebuilt from prices against stored ones."""
-    joined = build_portfolio(align_calendars(bars, tickers), tickers).select("date", F.col("portfolio_simple_return").alias("_a")).join(
-        stored.select("date", F.col("portfolio_simple_return").alias("_b")), "date", "full_outer"
-    )
+def return_rebuild_check(bars: DataFrame, weights: DataFrame, stored: DataFrame, tickers: int, tolerance: float = 1e-12) -> DataFrame:
+    """Returns of every portfolio rebuilt from prices against stored ones (series_id, date, ret)."""
+    rebuilt = portfolio_series(bars, weights, tickers).select("series_id", "date", F.col("ret").alias("_a"))
+    joined = rebuilt.join(stored.select("series_id", "date", F.col("ret").alias("_b")), ["series_id", "date"], "full_outer")
     gap = F.abs(F.col("_a") - F.col("_b"))
-    return joined.agg(
+    return joined.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("sessions"),
         F.count_if(gap.isNull()).alias("unmatched"),
         F.count_if(gap > tolerance).alias("offenders"),

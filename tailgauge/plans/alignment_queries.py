@@ -33,17 +33,14 @@ def _(t: Tables):
 
 
 @query("calendar_coverage", "bars", """
-  WITH l AS (SELECT date FROM bars WHERE ticker = 'A' AND volume > 200), r AS (SELECT date FROM bars WHERE ticker = 'R'
-    AND volume <= 300)
+  WITH l AS (SELECT date FROM bars WHERE ticker = 'A'), r AS (SELECT date FROM bars WHERE ticker = 'R')
   SELECT count(*) FILTER (l.date IS NOT NULL AND r.date IS NOT NULL) AS common, count(*) FILTER (r.date IS NULL) AS
     left_only, count(*) FILTER (l.date IS NULL) AS right_only, min(l.date) FILTER (r.date IS NULL) AS first_left_only,
     min(r.date) FILTER (l.date IS NULL) AS first_right_only
   FROM l FULL JOIN r ON l.date = r.date
 """)
 def _(t: Tables):
-    left = t.bars.filter((F.col("ticker") == "A") & (F.col("volume") > 200))
-    right = t.bars.filter((F.col("ticker") == "R") & (F.col("volume") <= 300))
-    return J.calendar_coverage(left, right)
+    return J.calendar_coverage(t.bars.filter(F.col("ticker") == "A"), t.bars.filter(F.col("ticker") == "R"))
 
 
 @query("enrich_many_to_one", "pred port", """
@@ -78,11 +75,14 @@ def _(t: Tables):
 
 
 @query("reindex_left", "idx bars", """
-  SELECT c.date, m.close FROM (SELECT DISTINCT date FROM bars) c LEFT JOIN (SELECT * FROM idx WHERE volume > 1000) m
-    ON c.date = m.date
+  SELECT c.date, m.close FROM (
+    SELECT CAST(unnest(generate_series(min(date) - 7, max(date) + 7, INTERVAL 1 DAY)) AS DATE) AS date FROM bars) c
+  LEFT JOIN idx m ON c.date = m.date
 """, "close")
 def _(t: Tables):
-    return J.reindex_left(t.bars.select("date").distinct(), t.index.filter(F.col("volume") > 1000)).select("date", "close")
+    """Every calendar day, a week beyond either end included."""
+    span = t.bars.agg(F.date_sub(F.min("date"), 7).alias("first"), F.date_add(F.max("date"), 7).alias("last"))
+    return J.reindex_left(span.select(F.explode(F.sequence("first", "last")).alias("date")), t.index).select("date", "close")
 
 
 @query("merge_history", "bars", "SELECT ticker, date, open, high, low, close, volume FROM bars", OHLCV)
@@ -170,13 +170,16 @@ def _(t: Tables):
 
 
 @query("compare_reference", "pred", """
-  SELECT series_id, method, count(*) AS n, CAST(0 AS BIGINT) AS unmatched, 0e0 AS max_abs_difference,
-    0e0 AS mean_abs_difference, 'PASS' AS status FROM pred GROUP BY 1, 2
+  SELECT series_id, method, count(*) AS n, CAST(0 AS BIGINT) AS unmatched, max(d) AS max_abs_difference,
+    avg(d) AS mean_abs_difference, CASE WHEN max(d) > 1e-9 THEN 'MISMATCH' ELSE 'PASS' END AS status
+  FROM (SELECT *, CASE WHEN method = 'ewma' AND day(target_date) = 13 THEN 1e-3 ELSE 0e0 END AS d FROM pred) GROUP BY 1, 2
 """, "max_abs_difference mean_abs_difference", digits=10)
 def _(t: Tables):
     from ..models.walk_forward import compare_methods
 
     again = compare_methods(t.portfolio, t.boosted, block=512)
+    moved = (F.col("method") == "ewma") & (F.dayofmonth("target_date") == 13)
+    again = again.withColumn("quantile_return", F.when(moved, F.col("quantile_return") + 1e-3).otherwise(F.col("quantile_return")))
     return J.compare_reference(
         t.predictions, again, ["series_id", "method", "target_date"], "quantile_return", ["series_id", "method"]
     )
