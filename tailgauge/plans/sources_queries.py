@@ -13,7 +13,7 @@ from ..sources.bars import OHLCV, read_market_snapshot, read_ohlcv_csv, scan_pan
 from ..sources.predictions import PREDICTION_FILE, read_predictions
 from ..sources.registry import get_forecast, judge_forecasts, register_forecasts
 from ..sources.sinks import RETURN_BITS, fingerprint_sql, snapshot_manifest, write_prediction_set, write_snapshot
-from ..streaming.sessions import SessionStore, ingest_sessions_stream
+from ..streaming.sessions import BATCH_END, SessionStore, ingest_sessions_stream
 from .catalog import query
 from .fixtures import CUTOFF, SPLIT, TICKERS, Tables
 
@@ -179,7 +179,7 @@ def _(t: Tables):
 def _(t: Tables):
     """Seed with the sessions up to a cutoff, then let the stream work off two later arrivals."""
     root = scratch_path(t.spark, "sessions")
-    store = SessionStore(t.spark, f"{root}/store", len(TICKERS))
+    store = SessionStore(t.spark, f"{root}/store", len(TICKERS), as_of=BATCH_END)
     bars = t.aligned
     cutoff, later = F.lit(date.fromisoformat(CUTOFF)), F.lit(date(2001, 1, 31))
     store.seed(bars.filter(F.col("date") <= cutoff))

@@ -9,7 +9,7 @@ from tailgauge.sources.predictions import read_predictions
 from tailgauge.sources.registry import get_forecast, judge_forecasts, register_forecasts
 from tailgauge.sources.commits import CommitLog
 from tailgauge.sources.sinks import read_prediction_set, snapshot_manifest, write_prediction_set, write_snapshot
-from tailgauge.streaming.sessions import SessionStore, ingest_sessions_stream
+from tailgauge.streaming.sessions import BATCH_END, SessionStore, ingest_sessions_stream
 
 FORECAST = (
     "forecast_id string, model_name string, model_version string, generated_at timestamp, data_as_of_date date, "
@@ -129,7 +129,7 @@ def test_prediction_file_flags(spark, tmp_path):
 @pytest.fixture()
 def store(spark, panel):
     root = scratch_path(spark, "sessions")
-    made = SessionStore(spark, f"{root}/store", 3)
+    made = SessionStore(spark, f"{root}/store", 3, as_of=BATCH_END)
     made.seed(panel.filter(F.col("date") <= "2020-02-07"))
     return made
 
@@ -339,3 +339,33 @@ def test_a_repeated_bar_is_refused(panel):
 
     with pytest.raises(ValueError, match="2 bars of AAA on 2020-01-08"):
         build_portfolio(panel.unionByName(panel.filter("ticker = 'AAA' AND date = '2020-01-08'")), 3)
+
+
+def test_prices_in_single_units_become_thousands(panel, store):
+    rows = panel.filter(F.col("date").between("2020-02-10", "2020-02-14"))
+    vnd = rows.withColumns({c: F.col(c) * 1000 for c in ("open", "high", "low", "close")}).withColumn("price_unit", F.lit("vnd"))
+    with pytest.raises(Exception, match="unsupported price unit"):
+        store.ingest(as_text(vnd.withColumn("price_unit", F.lit("usd"))), 0)
+    store.ingest(as_text(vnd), 0)
+    got = store.bars(since=date(2020, 2, 10))
+    assert got.exceptAll(rows.select(got.columns)).isEmpty() and got.count() == rows.count()
+
+
+def test_reviewed_anomalies_are_left_out_and_others_refused(spark, panel, store):
+    days = panel.filter(F.col("date").between("2020-02-10", "2020-02-14"))
+    broken = days.withColumn("high", F.when(F.col("date") == "2020-02-12", F.col("close") - 1).otherwise(F.col("high")))
+    judged = SessionStore(spark, store.root, 3, as_of=BATCH_END, reviewed=spark.createDataFrame([], "ticker string, date date, gap double"))
+    with pytest.raises(ValueError, match="unreviewed"):
+        judged.ingest(as_text(broken), 0)
+    gap = [(t, date(2020, 2, 12), 1.0) for t in ("AAA", "BBB", "CCC")]
+    judged.reviewed = spark.createDataFrame(gap, "ticker string, date date, gap double")
+    judged.ingest(as_text(broken), 0)
+    assert store.bars().filter("date = '2020-02-12'").isEmpty() and judged.excluded().count() == 3
+    rows = {r.entry: r.rows for r in store.manifest().filter("batch_id = 0").collect()}
+    assert rows == {"AAA": 4, "BBB": 4, "CCC": 4, "portfolio": 4}
+
+
+def test_without_an_instant_a_batch_is_judged_now(spark, panel, store):
+    now = SessionStore(spark, store.root, 3)
+    with pytest.raises(ValueError, match="expected session is missing"):
+        now.ingest(as_text(panel.filter(F.col("date").between("2020-02-10", "2020-02-14"))), 0)
