@@ -88,7 +88,34 @@ def window_bands(hashes: Column, size: int, stride: int, s: Scan) -> Column:
         )
 
     bands = lambda start: once(F.slice(hashes, start + 1, size), lambda window: signature(start, window))
-    every = F.flatten(F.transform(starts, bands))
+    if size > 1 and 2 * stride == size:
+        # a window is two neighbouring halves, and each half is in two windows: its minima are computed once
+        final = F.greatest(count - size, F.lit(0))
+        full = F.floor(final / stride).cast("int")
+
+        def minima(part: Column) -> Column:
+            own = lambda k: F.array_min(F.transform(part, lambda h: F.xxhash64(h, F.lit(k))))
+            return F.array(*[own(k) for k in range(s.seeds)])
+
+        halves = F.transform(
+            F.sequence(F.lit(0), full + 1), lambda j: once(F.slice(hashes, j * stride + 1, stride), minima)
+        )
+
+        def joined(j: Column, every: Column) -> Column:
+            # a half beyond a short text is empty and its minimum NULL, which ``least`` passes over
+            least = lambda k: F.least(F.get(F.get(every, j), F.lit(k)), F.get(F.get(every, j + 1), F.lit(k)))
+            return F.array(
+                *[
+                    F.struct((j * stride).cast("int").alias("start"), F.xxhash64(F.lit(size), F.lit(k), least(k)).alias("band"))
+                    for k in range(s.seeds)
+                ]
+            )
+
+        strided = once(halves, lambda every: F.flatten(F.transform(F.sequence(F.lit(0), full), lambda j: joined(j, every))))
+        rest = F.when(final % stride != 0, bands(final)).otherwise(F.array().cast("array<struct<start:int,band:bigint>>"))
+        every = F.concat(strided, rest)
+    else:
+        every = F.flatten(F.transform(starts, bands))
     return F.when(count > 0, every).otherwise(F.array().cast("array<struct<start:int,band:bigint>>"))
 
 

@@ -322,3 +322,18 @@ def test_whole_documents_are_sharded(spark, messy, nothing):
     assert histogram_sort.shard_report(nothing).count() == 0
     clash = messy.selectExpr("doc_id", "text", "1 AS shard", "'x' AS size", "2 AS place", "3 AS id")
     check_shards(histogram_sort.shard_documents(clash, 3).collect(), 3, 0.002)
+
+
+@pytest.mark.parametrize("size", [4, 8])
+def test_shared_halves_give_the_bands_of_whole_windows(spark, size):
+    from pyspark.sql import functions as F
+
+    scan = license_scan.Scan()
+    texts = [(i, " ".join(f"w{(i * k) % 11}" for k in range(i))) for i in range(0, 60, 3)]
+    hashes = spark.createDataFrame(texts, "n int, text string").select("n", license_scan.shingle_hashes(F.col("text"), scan).alias("h"))
+    shared = hashes.select("n", F.explode(license_scan.window_bands(F.col("h"), size, size // 2, scan)).alias("w"))
+    single = hashes.select("n", F.explode(license_scan.window_bands(F.col("h"), size, 1, scan)).alias("w"))
+    last = F.greatest(F.size("h") - size, F.lit(0))
+    wanted = single.join(hashes, "n").where((F.col("w.start") % (size // 2) == 0) | (F.col("w.start") == last)).select("n", "w")
+    assert Counter(tuple(r) for r in shared.select("n", "w.*").collect()) == Counter(tuple(r) for r in wanted.select("n", "w.*").collect())
+    assert shared.count() > 100
