@@ -218,3 +218,31 @@ def test_correlation_by_blocks_equals_numpy(spark, block, sessions):
             assert got[names[i], names[j]] == pytest.approx(want[i, j], abs=1e-12)
     with pytest.raises(ValueError, match="has 2 values"):
         correlation_blocks(df.unionByName(df.limit(1)))
+
+
+def test_correlation_stores_no_pair_of_tickers(spark, monkeypatch):
+    import os
+    from datetime import date, timedelta
+
+    import numpy as np
+
+    from tailgauge.operators import correlation
+    from tailgauge.session import shared_dir
+
+    # strips of two blocks, so that most pairs of blocks are in different strips
+    monkeypatch.setattr(correlation, "STRIP", 64)
+    values = np.random.default_rng(6).normal(size=(4, 300))
+    names = [f"T{i:03}" for i in range(300)]
+    rows = [(n, date(2020, 1, 1) + timedelta(days=d), float(values[d, i])) for i, n in enumerate(names) for d in range(4)]
+    df = spark.createDataFrame(rows, "ticker string, date date, simple_return double").repartition(2)
+
+    def stored() -> int:
+        return sum(os.path.getsize(os.path.join(top, f)) for top, _, files in os.walk(shared_dir(spark)) for f in files)
+
+    before = stored()
+    found = correlation.correlation_blocks(df, block=32).collect()
+    assert stored() - before < 8 * 300 * 300 / 2  # half the pairs as doubles; each block is a small file
+    got = np.full((300, 300), np.nan)
+    for r in found:
+        got[int(r.left[1:]), int(r.right[1:])] = r.correlation
+    assert len(found) == 300 * 300 and np.allclose(got, np.corrcoef(values.T), atol=1e-12)
