@@ -29,8 +29,8 @@ from .columns import checked, per_batch, remembers
 #: Strings up to this many bytes are encoded in one go.
 LEAF = 16
 NONE = 1 << 60
-#: A worker remembers at most twice this many stretches, half as many words, and as many pairs of tokens.
-REMEMBERED = 120_000
+#: A worker remembers at most twice as many stretches and words, and so many pairs of tokens.
+REMEMBERED, WORDS, PAIRS = 120_000, 180_000, 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
@@ -45,13 +45,21 @@ class TreeEncoder:
     def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF):
         self.ranks, self.leaf = ranks, leaf
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self._agree: dict[tuple[int, int], bool] = {}
-        # lengths of the tokens that begin with three bytes, the longest first
-        found: dict[bytes, set[int]] = {}
-        for token in ranks:
+        self._agree: dict[int, bool] = {}
+        self._edges: dict[int, dict[int, list[tuple[bytes, int]] | None]] = {0: {}, -1: {}}
+        # each token's longest beginning that is a token, or none
+        self.shorter: dict[int, int | None] = {}
+        # the beginnings of tokens, three bytes or more, with the longest token that each begins with
+        self.longest: dict[bytes, int] = {}
+        for token in sorted(ranks, key=len):
+            known = [ranks[part] for size in range(len(token) - 1, 0, -1) if (part := token[:size]) in ranks]
+            self.shorter[ranks[token]] = known[0] if known else None
+            for size in range(3, len(token)):
+                if token[:size] not in self.longest:
+                    self.longest[token[:size]] = next(x for x in known if len(self.tokens[x]) < size)
             if len(token) > 2:
-                found.setdefault(token[:3], {1, 2}).add(len(token))
-        self.lengths = {start: tuple(sorted(x, reverse=True)) for start, x in found.items()}
+                self.longest[token] = ranks[token]
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -84,40 +92,91 @@ class TreeEncoder:
         Each place takes the longest token that agrees with the one before; where
         none does, the token before gives way to its next shorter one.
         """
-        get, agreed, lengths = self.ranks.get, self._agree, self.lengths
-        n, at, limit = len(piece), 0, len(piece)
+        get, agreed, shorter, longest, sizes = self.ranks.get, self._agree, self.shorter, self.longest, self.sizes
+        n, at, last = len(piece), 0, None
         ids: list[int] = []
-        starts: list[int] = []
         while at < n:
-            for size in lengths.get(piece[at : at + 3], (2, 1)):
-                if size > limit or (token := get(piece[at : at + size])) is None:
-                    continue
-                if not ids:
-                    if size < n or self.merge(piece) == [token]:
+            # beginnings of tokens: if one is none, no longer one is
+            end, token = at + 3, None
+            while end <= n and (further := longest.get(piece[at:end])) is not None:
+                token, end = further, end + 1
+            if token is None and (token := get(piece[at : at + 2])) is None:
+                token = get(piece[at : at + 1])
+            while True:
+                if token is None:
+                    # the token before gives way
+                    token = ids.pop()
+                    at -= sizes[token]
+                    token, last = shorter[token], ids[-1] if ids else None
+                elif last is None:
+                    if sizes[token] < n or self.merge(piece) == [token]:
                         break
-                elif (good := agreed.get((ids[-1], token))) or good is None and self.agree(ids[-1], token):
+                    token = shorter[token]
+                elif (good := agreed.get(last << 32 | token)) or good is None and self.agree(last, token):
                     break
-            else:
-                start = starts.pop()
-                ids.pop()
-                limit, at = at - start - 1, start
-                continue
+                else:
+                    token = shorter[token]
             ids.append(token)
-            starts.append(at)
-            at += size
-            limit = n - at
+            last = token
+            at += sizes[token]
         return ids
 
     def agree(self, first: int, second: int) -> bool:
         """Whether the two tokens are the encoding of their concatenated bytes."""
-        found = self._agree.get((first, second))
+        pair = first << 32 | second
+        found = self._agree.get(pair)
         if found is None:
-            if len(self._agree) > REMEMBERED:
+            if len(self._agree) > PAIRS:
                 self._agree.clear()
-            found = self.merge(self.tokens[first] + self.tokens[second]) == [first, second]
-            self._agree[first, second] = found
+            found = self.apart(first, second)
+            self._agree[pair] = found
         return found
 
+    def apart(self, first: int, second: int) -> bool:
+        """Whether no merge crosses the seam of the two tokens, as their own merges go on by rank.
+
+        Only the last part of the first token and the first part of the second can
+        meet; each stays until the merge that takes it into a longer one.
+        """
+        ends, begins = self.edge(first, -1), self.edge(second, 0)
+        if ends is None or begins is None:
+            return self.merge(self.tokens[first] + self.tokens[second]) == [first, second]
+        get, i, j = self.ranks.get, 0, 0
+        while True:
+            (left, left_goes), (right, right_goes) = ends[i], begins[j]
+            rank = get(left + right, NONE)
+            # of equal ranks the leftmost pair is merged first: the first token's own, the crossing one, the second's
+            if rank < left_goes and rank <= right_goes and rank != NONE:
+                return False
+            if left_goes == right_goes == NONE:
+                return True
+            if left_goes <= right_goes:
+                i += 1
+            else:
+                j += 1
+
+    def edge(self, token: int, side: int) -> list[tuple[bytes, int]] | None:
+        """The parts that stand at one end of a token while it is merged, each with the rank of the merge that ends it.
+
+        None if the token's ranks do not grow from merge to merge, or do not lead to it.
+        """
+        known = self._edges[side]
+        if token not in known:
+            get, piece = self.ranks.get, self.tokens[token]
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            found, before = [], -1
+            while len(parts) > 1:
+                costs = [get(x + y, NONE) for x, y in zip(parts, parts[1:])]
+                least = min(costs)
+                if least == NONE or least < before:
+                    break
+                at, before = costs.index(least), least
+                if at == (0 if side == 0 else len(costs) - 1):
+                    found.append((parts[side], least))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known[token] = [*found, (piece, NONE)] if len(parts) == 1 else None
+        return known[token]
+
     def merge(self, piece: bytes) -> list[int]:
         """Merge the pair of least rank, the leftmost of equals, until none is left."""
         if len(piece) > 8 * self.leaf:
@@ -198,7 +257,7 @@ class Tokenizer:
             pattern = pattern.replace(short, name)
         self.split = regex.compile(pattern)
         self.decimal = {i: str(i) for i in self.encoder.tokens}
-        self.words, self.known = Remembered(REMEMBERED // 2), Remembered()
+        self.words, self.known = Remembered(WORDS), Remembered()
 
     def word(self, word: str) -> tuple[int, ...]:
         found = self.words.get(word)

@@ -337,3 +337,31 @@ def test_shared_halves_give_the_bands_of_whole_windows(spark, size):
     wanted = single.join(hashes, "n").where((F.col("w.start") % (size // 2) == 0) | (F.col("w.start") == last)).select("n", "w")
     assert Counter(tuple(r) for r in shared.select("n", "w.*").collect()) == Counter(tuple(r) for r in wanted.select("n", "w.*").collect())
     assert shared.count() > 100
+
+
+def test_neighbouring_tokens_agree_without_merging_them_again(monkeypatch):
+    import itertools
+    import random
+
+    letters = [bytes([b]) for b in range(256)]
+    draw = random.Random(3)
+    longer = {b"".join(draw.choice((b"a", b"b", b"c")) for _ in range(n)) for n in (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 5) for _ in range(3)}
+    for _ in range(20):
+        # by length, so that most ranks grow from merge to merge, and in any order
+        some = sorted(longer, key=len)
+        if draw.random() < 0.5:
+            draw.shuffle(some)
+        encoder = bpe_tree.TreeEncoder({token: rank for rank, token in enumerate(letters + some)})
+        for a, b in itertools.product([b"a", b"b", b"c", *some], repeat=2):
+            first, second = encoder.ranks[a], encoder.ranks[b]
+            if encoder.merge(a) == [first] and encoder.merge(b) == [second]:
+                assert encoder.agree(first, second) == (encoder.merge(a + b) == [first, second])
+        for n in range(1, 7):
+            for piece in map(bytes, itertools.product(b"abc", repeat=n)):
+                assert encoder.leaf_tokens(piece) == encoder.merge(piece)
+    encoder = bpe_tree.TreeEncoder(bpe_tree.read_ranks(vocabulary()[0]))
+    merged, merge = [], encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda piece: merged.append(piece) or merge(piece))
+    for word in ("therhean", "dieentzäsch", "cióntaosla", "xqzjkvw"):
+        encoder.leaf_tokens(word.encode())
+    assert not merged
