@@ -365,3 +365,14 @@ def test_neighbouring_tokens_agree_without_merging_them_again(monkeypatch):
     for word in ("therhean", "dieentzäsch", "cióntaosla", "xqzjkvw"):
         encoder.leaf_tokens(word.encode())
     assert not merged
+
+
+def test_mixing_stores_no_contexts_and_shuffles_texts_once(messy, rows, monkeypatch):
+    stored = []
+    write = context_mixing.materialize
+    monkeypatch.setattr(context_mixing, "materialize", lambda df, label: stored.append(write(df, label)) or stored[-1])
+    m = context_mixing.Mixing(batch=4000)
+    got = context_mixing.language_model_scores(messy, m=m).collect()
+    assert len(got) == len(rows)
+    # what is stored besides the texts' scores are the numbers of each bucket
+    assert all("text" not in df.columns and df.count() < 2 * len(rows) for df in stored)
