@@ -233,8 +233,8 @@ def crowded_links(members: DataFrame, texts: DataFrame, labels: DataFrame, bands
 
     The nodes outside the band's largest component are compared with all nodes of
     the band, in squares of ``chunk`` by ``chunk``: a task multiplies the 0/1
-    matrices of a square, so pairs are never rows, and returns at most one link
-    between two components.
+    matrices of a square, so pairs are never rows, and returns the links that join
+    the square's components, without those that close a circle.
     """
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = named.groupBy("band", "component").count()
@@ -265,10 +265,17 @@ def crowded_links(members: DataFrame, texts: DataFrame, labels: DataFrame, bands
             shared = shared_counts([sets[i] for i in a], [sets[i] for i in b])
             sizes = np.array([len(x) for x in sets])
             union = sizes[a][:, None] + sizes[b][None] - shared
+            part: dict[bytes, bytes] = {}
             for i, j in zip(*np.nonzero(shared.astype(float) / union >= bands.similarity)):
                 x, y = component[a[i]], component[b[j]]
+                while x in part:
+                    x = part[x]
+                while y in part:
+                    y = part[y]
+                # links that close a circle add nothing
                 if x != y:
-                    found.setdefault((min(x, y), max(x, y)), (nodes[a[i]], nodes[b[j]]))
+                    part[max(x, y)] = min(x, y)
+                    found[x, y] = nodes[a[i]], nodes[b[j]]
         links = list(found.values())
         return pa.table(
             {"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())}

@@ -44,7 +44,7 @@ def vocabulary() -> tuple[str, str]:
 
 @query
 def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.removal_report(table(spark, sf_dir, "documents"))
+    return paragraph_dedup.removal_report(table(spark, sf_dir, "documents"), paragraph_dedup.PASSAGES)
 
 
 @query
