@@ -246,3 +246,29 @@ def test_correlation_stores_no_pair_of_tickers(spark, monkeypatch):
     for r in found:
         got[int(r.left[1:]), int(r.right[1:])] = r.correlation
     assert len(found) == 300 * 300 and np.allclose(got, np.corrcoef(values.T), atol=1e-12)
+
+
+def test_mirrored_correlations_take_little_room_when_written(spark, monkeypatch, tmp_path):
+    import os
+    from datetime import date, timedelta
+
+    import numpy as np
+
+    from tailgauge.operators import correlation
+
+    monkeypatch.setattr(correlation, "STRIP", 128)
+    values = np.random.default_rng(7).normal(size=(5, 500))
+    names = [f"T{i:03}" for i in range(500)]
+    rows = [(n, date(2020, 1, 1) + timedelta(days=d), float(values[d, i])) for i, n in enumerate(names) for d in range(5)]
+    df = spark.createDataFrame(rows, "ticker string, date date, simple_return double").repartition(2)
+    found = correlation.correlation_blocks(df, block=32)
+    # plain values and a codec, as in tables of more values than a dictionary has
+    found.write.option("parquet.enable.dictionary", "false").option("compression", "snappy").parquet(f"{tmp_path}/whole")
+    found.select("correlation").write.option("parquet.enable.dictionary", "false").option("compression", "snappy").parquet(f"{tmp_path}/values")
+    size = sum(os.path.getsize(tmp_path / "values" / f) for f in os.listdir(tmp_path / "values"))
+    assert size < 0.7 * 8 * 500 * 500
+    got = np.full((500, 500), np.nan)
+    stored = spark.read.parquet(f"{tmp_path}/whole").collect()
+    for r in stored:
+        got[int(r.left[1:]), int(r.right[1:])] = r.correlation
+    assert len(stored) == 500 * 500 and np.allclose(got, np.corrcoef(values.T), atol=1e-12) and (got == got.T).all()
